@@ -1,0 +1,3 @@
+"""Empty on purpose: the capability set is batch only (one pass load, build, run, save), so no
+streaming operator is defined here.  Incremental merging is not definable without changing the
+global priority order of the merge."""
