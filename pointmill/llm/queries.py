@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import components, quantiles
+from pointmill.llm import components, neighbors, quantiles
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -33,10 +33,16 @@ def p3_scene_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(quantiles.percentiles(quantiles.merge(daily, ["scene"]), ["scene"], [50, 95, 98, 99]))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbors.nearest_neighbors(spark, _read(spark, sf, "features"), "point_id", ["x", "y", "z"])
+    return neighbors.neighbor_pairs(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_curvature_percentiles": p3_curvature_percentiles,
     "p3_scene_percentiles": p3_scene_percentiles,
+    "p4_found": p4_found,
 }
 
 _SKETCH = """
@@ -73,6 +79,16 @@ reach(vertex_id, group_id) USING KEY (vertex_id) AS (
   SELECT b.v, min(r.group_id) FROM reach r JOIN both_ways b ON b.u = r.vertex_id
   JOIN recurring.reach o ON o.vertex_id = b.v WHERE r.group_id < o.group_id GROUP BY b.v)
 SELECT vertex_id, group_id FROM reach
+""",
+    "p4_found": """
+WITH pts AS (
+  SELECT point_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM features
+  WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY point_id),
+near AS (
+  SELECT a.point_id AS a,
+         unnest(list_transform(min({'d': (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), 'b': b.point_id}, 3), lambda t: t.b)) AS b
+  FROM pts a JOIN pts b ON a.point_id <> b.point_id GROUP BY a.point_id)
+SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM near
 """,
     "p3_curvature_percentiles": _SKETCH.format(keys="scene, day"),
     "p3_scene_percentiles": _SKETCH.format(keys="scene"),
