@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import components, neighbors, quantiles
+from pointmill.llm import components, neighbors, packing, quantiles, tokens
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -38,11 +38,36 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.neighbor_pairs(found)
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode_corpus(_read(spark, sf, "documents"), "doc_id", "text")
+
+
+CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select("doc_id", "source", F.xxhash64("text").alias("cluster"), "text")
+    sized = tokens.count_tokens(docs, ["doc_id", "source", "cluster"], "text")
+    items = sized.select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"), "source", "cluster")
+    packed = packing.pack(spark, items, CAPACITY)
+    return packed.select("container_id", F.col("item").alias("doc_id"), "piece", F.col("start_at").alias("start_token"), F.col("size").alias("n_tokens"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: containers used, the least that could hold all tokens, and the share of room in use."""
+    boxes = p8_containers(spark, sf).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    total = boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"))
+    return total.select("containers", F.expr(f"(tokens + {CAPACITY - 1}) div {CAPACITY}").alias("least"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("fill"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_curvature_percentiles": p3_curvature_percentiles,
     "p3_scene_percentiles": p3_scene_percentiles,
     "p4_found": p4_found,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
 }
 
 _SKETCH = """
