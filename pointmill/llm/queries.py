@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import components, neighbors, packing, quantiles, tokens
+from pointmill.llm import clusters, components, neighbors, packing, quantiles, tokens
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.neighbor_pairs(found)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.members(spark, _read(spark, sf, "features"))
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.describe(spark, _read(spark, sf, "features"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(_read(spark, sf, "documents"), "doc_id", "text")
 
@@ -65,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_curvature_percentiles": p3_curvature_percentiles,
     "p3_scene_percentiles": p3_scene_percentiles,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
@@ -114,6 +124,27 @@ near AS (
          unnest(list_transform(min({'d': (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), 'b': b.point_id}, 3), lambda t: t.b)) AS b
   FROM pts a JOIN pts b ON a.point_id <> b.point_id GROUP BY a.point_id)
 SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM near
+""",
+    "p5_found": """
+WITH RECURSIVE pts AS (
+  SELECT point_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, any_value(nx) AS nx, any_value(ny) AS ny,
+         any_value(nz) AS nz, any_value(curvature) AS c
+  FROM features WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND isfinite(nx) AND isfinite(ny) AND isfinite(nz) AND isfinite(curvature)
+  GROUP BY point_id),
+near AS (
+  SELECT *, floor(x / 0.5) + dx AS kx, floor(y / 0.5) + dy AS ky
+  FROM pts, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)),
+links AS (
+  SELECT a.point_id AS u, b.point_id AS v
+  FROM pts a JOIN near b ON floor(a.x / 0.5) = b.kx AND floor(a.y / 0.5) = b.ky AND a.point_id <> b.point_id
+  WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.5
+    AND acos(greatest(-1, least(1, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) <= 0.52 AND abs(a.c - b.c) <= 0.02),
+reach(point_id, group_id) USING KEY (point_id) AS (
+  SELECT u, min(least(u, v)) FROM links GROUP BY u
+  UNION
+  SELECT l.v, min(r.group_id) FROM reach r JOIN links l ON l.u = r.point_id
+  JOIN recurring.reach o ON o.point_id = l.v WHERE r.group_id < o.group_id GROUP BY l.v)
+SELECT point_id, group_id FROM reach QUALIFY count(*) OVER (PARTITION BY group_id) >= 5
 """,
     "p3_curvature_percentiles": _SKETCH.format(keys="scene, day"),
     "p3_scene_percentiles": _SKETCH.format(keys="scene"),
