@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import clusters, components, neighbors, packing, quantiles, tokens
+from pointmill.llm import clusters, components, neighbors, packing, pii, quantiles, tokens
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -68,6 +68,18 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return total.select("containers", F.expr(f"(tokens + {CAPACITY - 1}) div {CAPACITY}").alias("least"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("fill"))
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(spark, _read(spark, sf, "documents"), _read(spark, sf, "person_names"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf).select("doc_id", "kind", "start_at")
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(_read(spark, sf, "documents"), _items(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_curvature_percentiles": p3_curvature_percentiles,
@@ -78,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 _SKETCH = """
