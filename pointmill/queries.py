@@ -1,31 +1,479 @@
-"""Queries over the driver's tables, and the same in SQL for comparison."""
+"""Queries over the driver's tables, and the same in SQL for comparison.
+
+Clouds: EMB (embeddings: vec_id and the first three components), LINE (lineitem: quantity, 100 discount, 100 tax)
+and CLOUD (features: one row per point with a finite position).  Scoring uses all runs of predictions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pointmill.config import SegmentationConfig
+from pointmill.functions.ranks import index_percentiles
+from pointmill.functions.vector import finite
+from pointmill.operators import bounds, components, evaluate, features, graph, labels, merge, neighbors
 from pointmill.operators.tree_aggregate import segment_majority
-from pointmill.sources.raw_lines import failing_lines
+from pointmill.sources import points as sources
+from pointmill.sources.raw_lines import failing_lines, parse_lines
+from pointmill.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+R_EMB = 0.1
+R_CLOUD = 0.5
+VOXEL = 2.0
+CFG = SegmentationConfig(normal_radius=R_EMB, search_radius=R_EMB)
+CLOUD_CFG = SegmentationConfig()
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def emb(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("point_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+
+
+def line(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("z"))
+
+
+def cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per point of features with a finite position; renewed deliveries of a point drop out."""
+    f = read(spark, sf, "features").select("point_id", "x", "y", "z")
+    ok = finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))
+    return f.where(ok).groupBy("point_id").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("point_id", "p.*")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without negative zeros."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _emb_features(spark: SparkSession, sf: str) -> DataFrame:
+    return Workspace(spark, "emb").keep(features.surface_features(emb(spark, sf), R_EMB))[0]
+
+
+def _cloud_features(spark: SparkSession, sf: str) -> DataFrame:
+    return Workspace(spark, "cloud").keep(features.surface_features(cloud(spark, sf), R_CLOUD))[0]
+
+
+def bounds_line(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bounds.bounds(line(spark, sf)))
+
+
+def spacing_line(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bounds.spacing(line(spark, sf)))
+
+
+def bounds_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bounds.bounds(cloud(spark, sf)))
+
+
+def voxel_downsample_line(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bounds.voxel_downsample(line(spark, sf), 3.0))
+
+
+def voxel_counts_line(spark: SparkSession, sf: str) -> DataFrame:
+    return bounds.voxel_means(line(spark, sf), 3.0).select("vx", "vy", "vz", "n")
+
+
+def voxel_downsample_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    # Means of six-digit numbers often end in a 5; the small shift keeps both engines' rounding apart from it.
+    down = bounds.voxel_downsample(cloud(spark, sf), VOXEL)
+    return rounded(down.withColumns({c: F.col(c) + F.lit(3.1e-7) for c in "xyz"}), 5)
+
+
+def radius_pairs_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(neighbors.radius_pairs(emb(spark, sf), R_EMB), 9)
+
+
+def radius_pairs_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(neighbors.radius_pairs(cloud(spark, sf), R_CLOUD))
+
+
+def radius_degree_emb(spark: SparkSession, sf: str) -> DataFrame:
+    pts = emb(spark, sf)
+    return neighbors.degrees(pts, neighbors.radius_pairs(pts, R_EMB))
+
+
+def local_covariance_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(features.covariances(emb(spark, sf), R_EMB).select("point_id", "n_neighbors", "xx", "yy", "zz", "xy", "xz", "yz"), 9)
+
+
+def curvature_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_emb_features(spark, sf).select("point_id", "n_neighbors", "curvature"))
+
+
+def curvature_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_cloud_features(spark, sf).select("point_id", "n_neighbors", "curvature"))
+
+
+def normals_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_emb_features(spark, sf).select("point_id", "nx", "ny", "nz"), 4)
+
+
+def curvature_stats_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(features.curvature_stats(_emb_features(spark, sf)))
+
+
+def curvature_threshold_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(index_percentiles(_emb_features(spark, sf), F.col("curvature"), [98]).select(F.col("value").alias("threshold")))
+
+
+def curvature_percentiles_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Index percentiles of the curvature column as delivered, finite values of each point once."""
+    f = read(spark, sf, "features").where(finite(F.col("curvature"))).groupBy("point_id").agg(F.min("curvature").alias("c"))
+    return rounded(index_percentiles(f, F.col("c"), [0, 50, 95, 98, 99, 100]), 9)
+
+
+def edge_weights_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(graph.build_edges(_emb_features(spark, sf), R_EMB).select("edge_id", "src", "dst", "weight"), 4)
+
+
+def edge_weights_legacy_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(graph.build_edges(_emb_features(spark, sf), R_EMB, curvature_weight=0.0), 4)
+
+
+def _flat_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    f = _emb_features(spark, sf)
+    return f, Workspace(spark, "emb").keep(graph.build_edges(f, R_EMB))[0]
+
+
+def pruned_edges_emb(spark: SparkSession, sf: str) -> DataFrame:
+    f, e = _flat_edges(spark, sf)
+    return graph.mergeable_edges(e, f, features.curvature_threshold(f, 95)).select("src", "dst")
+
+
+def angle_gated_edges_emb(spark: SparkSession, sf: str) -> DataFrame:
+    f, e = _flat_edges(spark, sf)
+    return graph.smooth_edges(e, f, CFG.angle_threshold, features.curvature_threshold(f)).select("src", "dst")
+
+
+def components_emb(spark: SparkSession, sf: str) -> DataFrame:
+    pts = emb(spark, sf)
+    return components.connected_components(spark, pts, neighbors.radius_pairs(pts, R_EMB))
+
+
+def components_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    pts = cloud(spark, sf)
+    return components.connected_components(spark, pts, neighbors.radius_pairs(pts, R_CLOUD))
+
+
+def smooth_components_emb(spark: SparkSession, sf: str) -> DataFrame:
+    f, e = _flat_edges(spark, sf)
+    return components.connected_components(spark, f, graph.smooth_edges(e, f, CFG.angle_threshold, features.curvature_threshold(f)))
+
+
+def dense_relabel_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.dense_labels(components_emb(spark, sf).toDF("point_id", "root"))
+
+
+def segment_sizes_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.segment_sizes(dense_relabel_emb(spark, sf))
+
+
+def segment_count_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.count_segments(dense_relabel_emb(spark, sf))
+
+
+def average_degree_emb(spark: SparkSession, sf: str) -> DataFrame:
+    pts = emb(spark, sf)
+    return rounded(graph.graph_stats(pts, neighbors.radius_pairs(pts, R_EMB)))
+
+
+def active_counts_emb(spark: SparkSession, sf: str) -> DataFrame:
+    pts = emb(spark, sf)
+    roots = components_emb(spark, sf).toDF("point_id", "root")
+    return labels.active_counts(roots, neighbors.radius_pairs(pts, R_EMB))
+
+
+def adjacency_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.adjacency(edge_weights_emb(spark, sf)).select("point_id", "degree", F.array_min("edge_ids").alias("first_edge"), F.array_max("edge_ids").alias("last_edge"))
+
+
+def _merged(spark: SparkSession, f: DataFrame, cfg: SegmentationConfig) -> DataFrame:
+    e = Workspace(spark, "emb").keep(graph.build_edges(f, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight))[0]
+    return merge.merge_components(spark, graph.vertices(f), e, features.curvature_threshold(f, cfg.curvature_percentile), cfg)
+
+
+def greedy_merge_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.dense_labels(_merged(spark, _emb_features(spark, sf), CFG).select("point_id", "root"))
+
+
+LEGACY = replace(CFG, gates=False, curvature_weight=0.0, stop_weight=0.3)
+
+
+def greedy_merge_legacy_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.dense_labels(_merged(spark, _emb_features(spark, sf), LEGACY).select("point_id", "root"))
+
+
+def threshold_sweep_emb(spark: SparkSession, sf: str) -> DataFrame:
+    f = _emb_features(spark, sf)
+    runs = [merge.merge_metrics(_merged(spark, f, replace(LEGACY, stop_weight=t))).select(F.lit(t).alias("threshold"), "points", "segments", "merges") for t in (0.1, 0.2, 0.4, 0.8)]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def merge_metrics_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.merge_metrics(_merged(spark, _emb_features(spark, sf), CFG))
+
+
+def region_table_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(merge.region_table(_merged(spark, _emb_features(spark, sf), CFG)))
+
+
+def merge_rounds_emb(spark: SparkSession, sf: str) -> DataFrame:
+    f = _emb_features(spark, sf)
+    roots = merge.merge_rounds(spark, graph.vertices(f), graph.build_edges(f, R_EMB), features.curvature_threshold(f), CFG)
+    return labels.dense_labels(roots)
+
+
+def segmentation_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """Features, graph, threshold and merge of the whole cloud with the default parameters."""
+    from pointmill.plans.pipeline import segment
+
+    return segment(spark, cloud(spark, sf), CLOUD_CFG).labels
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """All predictions (run, point) beside their class; repeated deliveries once."""
+    truth = read(spark, sf, "point_classes").where("class_id is not null").groupBy("point_id").agg(F.min("class_id").alias("class_id"))
+    return evaluate.paired(truth, read(spark, sf, "predictions").select("run_id", "point_id", "segment_id").distinct())
+
+
+def cluster_class_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.histogram(_scored(spark, sf))
+
+
+def majority_class(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.majority_classes(evaluate.histogram(_scored(spark, sf)))
+
+
+def cluster_purity(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.purity(evaluate.histogram(_scored(spark, sf))))
+
+
+def purity_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.purity_summary(_scored(spark, sf)))
+
+
+def gt_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.distribution(_scored(spark, sf)))
+
+
+def mapped_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.mapped(_scored(spark, sf)).groupBy("point_id", "gt", "pred").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.confusion(spark, evaluate.mapped(_scored(spark, sf)))
+
+
+def per_class_iou(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.class_iou(confusion_matrix(spark, sf)))
+
+
+def mean_iou(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.mean_iou(confusion_matrix(spark, sf)).select("mean_iou"))
+
+
+def overall_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.mean_iou(confusion_matrix(spark, sf)).select("accuracy"))
+
+
+def nn_label_transfer_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """Each point's nearest voxel mean."""
+    pts = cloud(spark, sf)
+    centers = bounds.voxel_downsample(pts, VOXEL).withColumn("label", F.col("point_id"))
+    return neighbors.nearest_label(spark, pts, centers, "label", VOXEL * 3**0.5)
+
+
+def zip_visualization(spark: SparkSession, sf: str) -> DataFrame:
+    lab = read(spark, sf, "point_classes").where("class_id is not null").groupBy("point_id").agg(F.min("class_id").alias("class_id"))
+    return sources.visualization_lines(cloud(spark, sf), lab, "class_id")
+
+
+def xyz_text_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """The whitespace reader's rule applied to every line of raw_lines."""
+    rows = read(spark, sf, "raw_lines").where(F.col("line").isNotNull() & ~sources.skipped(F.col("line")))
+    x, y, z = sources.parse_xyz(F.col("line"))
+    return rows.select("line_id", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return failing_lines(read(spark, sf, "raw_lines"))
 
 
+def p2_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The valid lines as typed points."""
+    return parse_lines(read(spark, sf, "raw_lines")).where("reason is null").drop("reason", "line")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return segment_majority(read(spark, sf, "predictions"), read(spark, sf, "point_classes"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p6_found": p6_found}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        bounds_line, spacing_line, bounds_cloud, voxel_downsample_line, voxel_counts_line, voxel_downsample_cloud, radius_pairs_emb, radius_pairs_cloud, radius_degree_emb,
+        local_covariance_emb, curvature_emb, curvature_cloud, normals_emb, curvature_stats_emb, curvature_threshold_emb, curvature_percentiles_features, edge_weights_emb,
+        edge_weights_legacy_emb, pruned_edges_emb, angle_gated_edges_emb, components_emb, components_cloud, smooth_components_emb, dense_relabel_emb, segment_sizes_emb,
+        segment_count_emb, average_degree_emb, active_counts_emb, adjacency_emb, greedy_merge_emb, greedy_merge_legacy_emb, threshold_sweep_emb, merge_metrics_emb,
+        region_table_emb, merge_rounds_emb, segmentation_cloud, cluster_class_histogram, majority_class, cluster_purity, purity_summary, gt_distribution, mapped_labels,
+        confusion_matrix, per_class_iou, mean_iou, overall_accuracy, nn_label_transfer_cloud, zip_visualization, xyz_text_parse, p2_found, p2_points, p6_found,
+    )
+}
+
+# ---------------------------------------------------------------------------------------------- SQL
+
+_EMB = "emb AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+_LINE = "line AS (SELECT l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem)"
+_CLOUD = """cloud AS (SELECT point_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM features
+  WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY point_id)"""
+
+
+def _pairs(source: str, r: float) -> str:
+    return f"""pairs AS (
+  SELECT a.point_id AS src, b.point_id AS dst, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2
+  FROM {source} a JOIN {source} b ON a.point_id < b.point_id
+  WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= {r * r!r})"""
+
+
+def _features(source: str) -> str:
+    return f"""halves AS (SELECT src AS p, dst AS q FROM pairs UNION ALL SELECT dst, src FROM pairs UNION ALL SELECT point_id, point_id FROM {source}),
+offs AS (SELECT p.point_id, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz FROM halves h JOIN {source} p ON p.point_id = h.p JOIN {source} q ON q.point_id = h.q),
+cov AS (SELECT point_id, count(*) AS n, covar_pop(dx, dx) AS a, covar_pop(dy, dy) AS b, covar_pop(dz, dz) AS c,
+  covar_pop(dx, dy) AS d, covar_pop(dx, dz) AS e, covar_pop(dy, dz) AS f FROM offs GROUP BY point_id),
+e1 AS (SELECT *, (a+b+c)/3 AS m, sqrt((pow(a-(a+b+c)/3,2) + pow(b-(a+b+c)/3,2) + pow(c-(a+b+c)/3,2) + 2*(d*d+e*e+f*f))/6) AS s FROM cov),
+e2 AS (SELECT *, CASE WHEN s = 0 THEN m ELSE m + 2*s*cos(acos(greatest(-1, least(1,
+  (((a-m)/s)*(((b-m)/s)*((c-m)/s) - (f/s)*(f/s)) - (d/s)*((d/s)*((c-m)/s) - (f/s)*(e/s)) + (e/s)*((d/s)*(f/s) - ((b-m)/s)*(e/s)))/2)))/3 + 2*pi()/3) END AS l FROM e1),
+rws AS (SELECT *, [a-l, d, e] AS r1, [d, b-l, f] AS r2, [e, f, c-l] AS r3 FROM e2),
+crs AS (SELECT *, list_cross_product(r1::DOUBLE[3], r2::DOUBLE[3]) AS p1, list_cross_product(r1::DOUBLE[3], r3::DOUBLE[3]) AS p2, list_cross_product(r2::DOUBLE[3], r3::DOUBLE[3]) AS p3 FROM rws),
+pick AS (SELECT *, CASE WHEN list_inner_product(p1, p1) >= greatest(list_inner_product(p2, p2), list_inner_product(p3, p3)) THEN p1
+  WHEN list_inner_product(p2, p2) >= list_inner_product(p3, p3) THEN p2 ELSE p3 END AS v FROM crs),
+unit AS (SELECT k.*, g.x, g.y, g.z, v[1]/sqrt(list_inner_product(v, v)) AS ux, v[2]/sqrt(list_inner_product(v, v)) AS uy, v[3]/sqrt(list_inner_product(v, v)) AS uz
+  FROM pick k JOIN {source} g USING (point_id)),
+feat AS (SELECT point_id, n AS n_neighbors, x, y, z,
+  CASE WHEN n < 3 OR isnan(ux) THEN 0 WHEN ux*x + uy*y + uz*z > 0 THEN -ux ELSE ux END AS nx,
+  CASE WHEN n < 3 OR isnan(ux) THEN 0 WHEN ux*x + uy*y + uz*z > 0 THEN -uy ELSE uy END AS ny,
+  CASE WHEN n < 3 OR isnan(ux) THEN 1 WHEN ux*x + uy*y + uz*z > 0 THEN -uz ELSE uz END AS nz,
+  CASE WHEN n < 3 OR m = 0 THEN 0 ELSE abs(l/(3*m)) END AS curvature FROM unit)""".replace("list_cross_product", "array_cross_product").replace("list_inner_product", "array_inner_product")
+
+
+_EDGES = """edges0 AS (SELECT p.src, p.dst, sqrt(p.d2) AS dist, acos(greatest(-1, least(1, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) AS ang,
+  greatest(a.curvature, b.curvature) AS curv FROM pairs p JOIN feat a ON a.point_id = p.src JOIN feat b ON b.point_id = p.dst)"""
+_EF = f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_features('emb')}"
+
+
+def _threshold(q: int) -> str:
+    return f"thr AS (SELECT curvature AS t FROM feat QUALIFY row_number() OVER (ORDER BY curvature) = least(count(*) OVER () * {q} // 100, count(*) OVER () - 1) + 1)"
+
+
+def _reach(links: str, source: str) -> str:
+    """Components by recursion with one row per vertex."""
+    return f"""ways AS (SELECT src AS u, dst AS v FROM {links} UNION ALL SELECT dst, src FROM {links}),
+reach(point_id, component) USING KEY (point_id) AS (
+  SELECT point_id, point_id FROM {source}
+  UNION
+  SELECT w.v, min(r.component) FROM reach r JOIN ways w ON w.u = r.point_id JOIN recurring.reach o ON o.point_id = w.v
+  WHERE r.component < o.component GROUP BY w.v)"""
+
+
+_SCORED = """truth AS (SELECT point_id, min(class_id)::BIGINT AS gt FROM point_classes WHERE class_id IS NOT NULL GROUP BY point_id),
+scored AS (SELECT point_id, gt, segment_id AS cluster FROM (SELECT DISTINCT run_id, point_id, segment_id FROM predictions WHERE segment_id IS NOT NULL) JOIN truth USING (point_id)),
+hist AS (SELECT cluster, gt, count(*) AS n FROM scored WHERE cluster >= 0 GROUP BY ALL),
+best AS (SELECT cluster, gt AS class FROM hist QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, gt) = 1),
+mapped AS (SELECT point_id, gt, coalesce(class, 0) AS pred FROM scored LEFT JOIN best USING (cluster)),
+axis AS (SELECT range AS k FROM range(9)),
+conf AS (SELECT g.k AS gt, p.k AS pred, count(m.gt) AS n FROM axis g CROSS JOIN axis p LEFT JOIN mapped m ON m.gt = g.k AND m.pred = p.k GROUP BY ALL),
+iou AS (SELECT r.gt AS class, tp, n_gt, n_pred, CASE WHEN n_gt + n_pred - tp = 0 THEN 0.0 ELSE tp / (n_gt + n_pred - tp) END AS iou
+  FROM (SELECT gt, sum(n)::BIGINT AS n_gt, (sum(n) FILTER (gt = pred))::BIGINT AS tp FROM conf GROUP BY gt) r
+  JOIN (SELECT pred, sum(n)::BIGINT AS n_pred FROM conf GROUP BY pred) c ON r.gt = c.pred)"""
+_NUM = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+
+
+def _voxels(source: str, size: float) -> str:
+    return f"""lo AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM {source}),
+vox AS (SELECT floor((x - (lx - {size / 2})) / {size})::BIGINT AS vx, floor((y - (ly - {size / 2})) / {size})::BIGINT AS vy, floor((z - (lz - {size / 2})) / {size})::BIGINT AS vz,
+  avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM {source}, lo GROUP BY 1, 2, 3),
+down AS (SELECT row_number() OVER (ORDER BY vx, vy, vz) - 1 AS point_id, * FROM vox)"""
+
+
+def _bounds(source: str) -> str:
+    return "SELECT count(*) AS n, " + ", ".join(f"round({f}({c}), 6) + 0.0 AS {f}_{c}" for c in "xyz" for f in ("min", "max")) + f" FROM {source}"
+
+
+_PERC = "min(v) FILTER (k = least(n * {q} // 100, n - 1))"
+
 ORACLE: dict[str, str] = {
+    "bounds_line": f"WITH {_LINE} {_bounds('line')}",
+    "bounds_cloud": f"WITH {_CLOUD} {_bounds('cloud')}",
+    "spacing_line": f"""WITH {_LINE}, s AS (SELECT count(*) AS n, max(x)-min(x) AS dx, max(y)-min(y) AS dy, max(z)-min(z) AS dz FROM line)
+        SELECT n, round(cbrt(CASE WHEN dx > 0 THEN dx ELSE 1 END * CASE WHEN dy > 0 THEN dy ELSE 1 END * CASE WHEN dz > 0 THEN dz ELSE 1 END / n), 6) AS spacing FROM s""",
+    "voxel_downsample_line": f"WITH {_LINE}, {_voxels('line', 3.0)} SELECT point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, n AS size FROM down",
+    "voxel_counts_line": f"WITH {_LINE}, {_voxels('line', 3.0)} SELECT vx, vy, vz, n FROM vox",
+    "voxel_downsample_cloud": f"WITH {_CLOUD}, {_voxels('cloud', VOXEL)} SELECT point_id, round(x + 3.1e-7, 5) + 0.0 AS x, round(y + 3.1e-7, 5) + 0.0 AS y, round(z + 3.1e-7, 5) + 0.0 AS z, n AS size FROM down",
+    "radius_pairs_emb": f"WITH {_EMB}, {_pairs('emb', R_EMB)} SELECT src, dst, round(d2, 9) + 0.0 AS d2 FROM pairs",
+    "radius_pairs_cloud": f"WITH {_CLOUD}, {_pairs('cloud', R_CLOUD)} SELECT src, dst, round(d2, 6) + 0.0 AS d2 FROM pairs",
+    "radius_degree_emb": f"""WITH {_EMB}, {_pairs('emb', R_EMB)}, ends AS (SELECT src AS point_id FROM pairs UNION ALL SELECT dst FROM pairs)
+        SELECT emb.point_id, count(ends.point_id) AS degree FROM emb LEFT JOIN ends USING (point_id) GROUP BY 1""",
+    "local_covariance_emb": f"{_EF} SELECT point_id, n AS n_neighbors, " + ", ".join(f"round({s}, 9) + 0.0 AS {t}" for s, t in zip("abcdef", ("xx", "yy", "zz", "xy", "xz", "yz"))) + " FROM cov",
+    "curvature_emb": f"{_EF} SELECT point_id, n_neighbors, round(curvature, 6) + 0.0 AS curvature FROM feat",
+    "curvature_cloud": f"WITH {_CLOUD}, {_pairs('cloud', R_CLOUD)}, {_features('cloud')} SELECT point_id, n_neighbors, round(curvature, 6) + 0.0 AS curvature FROM feat",
+    "normals_emb": f"{_EF} SELECT point_id, round(nx, 4) + 0.0 AS nx, round(ny, 4) + 0.0 AS ny, round(nz, 4) + 0.0 AS nz FROM feat",
+    "curvature_stats_emb": f"{_EF}, o AS (SELECT curvature AS v, row_number() OVER (ORDER BY curvature) - 1 AS k, count(*) OVER () AS n FROM feat) SELECT max(n) AS n, round(min(v), 6) AS min, round(avg(v), 6) AS mean, round(max(v), 6) AS max, "
+    + ", ".join(f"round({_PERC.format(q=q)}, 6) AS p{q}" for q in (50, 95, 98, 99))
+    + " FROM o",
+    "curvature_threshold_emb": f"{_EF}, {_threshold(98)} SELECT round(t, 6) AS threshold FROM thr",
+    "curvature_percentiles_features": """WITH f AS (SELECT point_id, min(curvature) AS v FROM features WHERE isfinite(curvature) GROUP BY 1),
+        o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM f), q AS (SELECT unnest([0, 50, 95, 98, 99, 100])::BIGINT AS q)
+        SELECT q, n, round(v, 9) + 0.0 AS value FROM q JOIN o ON k = least(n * q // 100, n - 1)""",
+    "edge_weights_emb": f"{_EF}, {_EDGES} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, round(dist + 0.5 * ang + curv, 4) AS weight FROM edges0",
+    "edge_weights_legacy_emb": f"{_EF}, {_EDGES} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, round(dist + 0.5 * ang, 4) AS weight FROM edges0",
+    "pruned_edges_emb": f"{_EF}, {_EDGES}, {_threshold(95)} SELECT src, dst FROM edges0, thr WHERE curv <= t",
+    "angle_gated_edges_emb": f"{_EF}, {_EDGES}, {_threshold(98)} SELECT src, dst FROM edges0, thr WHERE curv <= t AND ang <= 0.52",
+    "components_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT * FROM reach",
+    "components_cloud": f"WITH RECURSIVE {_CLOUD}, {_pairs('cloud', R_CLOUD)}, {_reach('pairs', 'cloud')} SELECT * FROM reach",
+    "smooth_components_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, smooth AS (SELECT src, dst FROM edges0, thr WHERE curv <= t AND ang <= 0.52), {_reach('smooth', 'emb')} SELECT * FROM reach",
+    "dense_relabel_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT point_id, dense_rank() OVER (ORDER BY component) - 1 AS segment_id FROM reach",
+    "segment_sizes_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT dense_rank() OVER (ORDER BY component) - 1 AS segment_id, count(*) AS size FROM reach GROUP BY component",
+    "segment_count_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT count(DISTINCT component) AS segments FROM reach",
+    "average_degree_emb": f"WITH {_EMB}, {_pairs('emb', R_EMB)} SELECT v AS vertices, e AS edges, round(2 * e / v, 6) AS average_degree FROM (SELECT count(*) AS v FROM emb), (SELECT count(*) AS e FROM pairs)",
+    "active_counts_emb": f"""WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')}
+        SELECT count(*) FILTER (point_id = component) AS active_vertices, 0::BIGINT AS active_edges FROM reach""",
+    "adjacency_emb": f"""{_EF}, {_EDGES}, numbered AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst FROM edges0),
+        ends AS (SELECT src AS point_id, edge_id FROM numbered UNION ALL SELECT dst, edge_id FROM numbered)
+        SELECT point_id, count(*) AS degree, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM ends GROUP BY point_id""",
+    "cluster_class_histogram": f"WITH {_SCORED} SELECT cluster, gt, n FROM hist",
+    "majority_class": f"WITH {_SCORED} SELECT cluster, class FROM best",
+    "cluster_purity": f"WITH {_SCORED} SELECT cluster, sum(n)::BIGINT AS size, round(max(n) / sum(n), 6) AS purity FROM hist GROUP BY cluster",
+    "purity_summary": f"""WITH {_SCORED}, pur AS (SELECT max(n) / sum(n) AS p FROM hist GROUP BY cluster)
+        SELECT a.*, b.* FROM (SELECT count(*) AS clusters, round(avg(p), 6) AS avg_purity, count(*) FILTER (p < 0.8) AS mixed, round(count(*) FILTER (p < 0.8) / count(*), 6) AS mixed_share FROM pur) a,
+        (SELECT count(*) FILTER (cluster < 0) AS noise, round(count(*) FILTER (cluster < 0) / count(*), 6) AS noise_share FROM scored) b""",
+    "gt_distribution": f"WITH {_SCORED} SELECT gt AS class, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM scored GROUP BY gt",
+    "mapped_labels": f"WITH {_SCORED} SELECT point_id, gt, pred, count(*) AS runs FROM mapped GROUP BY ALL",
+    "confusion_matrix": f"WITH {_SCORED} SELECT gt, pred, n FROM conf",
+    "per_class_iou": f"WITH {_SCORED} SELECT class, tp, n_gt, n_pred, round(iou, 6) AS iou FROM iou",
+    "mean_iou": f"WITH {_SCORED} SELECT round(avg(iou), 6) AS mean_iou FROM iou WHERE class >= 1",
+    "overall_accuracy": f"WITH {_SCORED} SELECT round(sum(n) FILTER (gt = pred) / sum(n), 6) AS accuracy FROM conf",
+    "nn_label_transfer_cloud": f"""WITH {_CLOUD}, {_voxels('cloud', VOXEL)}
+        SELECT c.point_id, min_by(d.point_id, {{'d2': (c.x-d.x)*(c.x-d.x) + (c.y-d.y)*(c.y-d.y) + (c.z-d.z)*(c.z-d.z), 'i': d.point_id}}) AS label FROM cloud c, down d GROUP BY c.point_id""",
+    "zip_visualization": f"""WITH {_CLOUD}, lab AS (SELECT point_id, min(class_id) AS class_id FROM point_classes WHERE class_id IS NOT NULL GROUP BY 1)
+        SELECT point_id, printf('%.6f %.6f %.6f %d', x, y, z, class_id) AS line FROM cloud JOIN lab USING (point_id)""",
+    "xyz_text_parse": rf"""WITH f AS (SELECT line_id, regexp_extract(line, '^\s*({_NUM})\s+({_NUM})\s+({_NUM})', ['a', 'b', 'c']) AS r FROM raw_lines
+          WHERE line IS NOT NULL AND length(line) > 0 AND line <> chr(13) AND NOT starts_with(line, '#')),
+        v AS (SELECT line_id, TRY_CAST(r.a AS FLOAT) AS a, TRY_CAST(r.b AS FLOAT) AS b, TRY_CAST(r.c AS FLOAT) AS c FROM f)
+        SELECT line_id, CASE WHEN isfinite(a) AND isfinite(b) AND isfinite(c) THEN a::DOUBLE END AS x, CASE WHEN isfinite(a) AND isfinite(b) AND isfinite(c) THEN b::DOUBLE END AS y,
+          CASE WHEN isfinite(a) AND isfinite(b) AND isfinite(c) THEN c::DOUBLE END AS z FROM v""",
     "p6_found": """
 WITH kept AS (SELECT DISTINCT run_id, point_id, segment_id FROM predictions WHERE segment_id >= 0),
 cls AS (SELECT point_id, min(class_id) AS class_id FROM point_classes WHERE class_id IS NOT NULL GROUP BY point_id),
