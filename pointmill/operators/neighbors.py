@@ -70,7 +70,6 @@ def nearest_label(spark: SparkSession, raw: DataFrame, centers: DataFrame, label
     sparse outliers cost extra rounds, not the dense bulk.  Exact.
     """
     ws = Workspace(spark, "nearest")
-    shift = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
     lab = centers.select(F.col("point_id").alias("center_id"), F.col(label).alias("label"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
     todo, done = raw.select("point_id", "x", "y", "z"), []
     if centers.isEmpty():
@@ -79,7 +78,7 @@ def nearest_label(spark: SparkSession, raw: DataFrame, centers: DataFrame, label
         home = {f"c{c}": F.floor(F.col(c) / F.lit(cell)) for c in "xyz"}
         spread = lab.withColumns({f"c{c}": F.floor(F.col(f"t{c}") / F.lit(cell)) for c in "xyz"})
         for c in "xyz":
-            spread = spread.withColumn(f"c{c}", F.explode(F.transform(shift, lambda s, k=c: F.col(f"c{k}") + s)))
+            spread = spread.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + F.lit(s) for s in (-1, 0, 1)])))
         d2 = distance_squared(triple(""), [F.col(f"t{c}") for c in "xyz"])
         met = todo.withColumns(home).join(spread, ["cx", "cy", "cz"]).select("point_id", "label", F.struct(d2.alias("d2"), F.col("center_id").alias("center_id")).alias("o"))
         # A raw point's candidates share its cell, hence its partition: this aggregates fully before the shuffle.
