@@ -26,12 +26,15 @@ def covariances(points: DataFrame, radius: float, inclusive: bool = True, pairs:
     off = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]
     one = F.struct(F.col("src").alias("point_id"), *[o.alias(f"d{c}") for c, o in zip("xyz", off)])
     two = F.struct(F.col("dst").alias("point_id"), *[(-o).alias(f"d{c}") for c, o in zip("xyz", off)])
-    both = ends.select(F.inline(F.array(one, two)))
+    null = [F.lit(None).cast("double").alias(c) for c in "xyz"]
+    both = ends.select(F.inline(F.array(one, two))).select("*", *null)
+    own = p.select("point_id", *[F.lit(0.0).alias(f"d{c}") for c in "xyz"], *"xyz")
     sums = [F.sum(f"d{c}").alias(f"s{c}") for c in "xyz"] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{k}") for k, (i, j) in MOMENTS.items()]
-    agg = both.groupBy("point_id").agg(F.count(F.lit(1)).alias("m"), *sums)
-    n = F.coalesce("m", F.lit(0)) + 1
-    cov = [(F.coalesce(f"s{k}", F.lit(0.0)) / n - F.coalesce(f"s{i}", F.lit(0.0)) / n * F.coalesce(f"s{j}", F.lit(0.0)) / n).alias(k) for k, (i, j) in MOMENTS.items()]
-    return p.join(agg, "point_id", "left").select("point_id", n.cast("bigint").alias("n_neighbors"), *"xyz", *cov)
+    # The point's own row brings its position along, so no join back is needed.
+    agg = both.unionByName(own).groupBy("point_id").agg(F.count(F.lit(1)).alias("n_neighbors"), *[F.max(c).alias(c) for c in "xyz"], *sums)
+    n = F.col("n_neighbors")
+    cov = [(F.col(f"s{k}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n).alias(k) for k, (i, j) in MOMENTS.items()]
+    return agg.select("point_id", "n_neighbors", *"xyz", *cov)
 
 
 def surface_features(points: DataFrame, radius: float, inclusive: bool = True, pairs: DataFrame | None = None) -> DataFrame:
