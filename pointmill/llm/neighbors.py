@@ -246,7 +246,7 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
             w = np.concatenate(who)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), pa.array(np.concatenate(at_home)), pa.array(ids[w]), *[pa.array(x[w, i]) for i in range(dim)]], names=names)
 
-    posted, _ = ws.keep(indexed.mapInArrow(assign, assigned_schema).repartition("list").sortWithinPartitions("list", "id"))
+    posted, _ = ws.keep(indexed.mapInArrow(assign, assigned_schema))
     homes = posted.where("home")
     found_boxes = homes.groupBy("list").agg(*[f(c).alias(f"{o}{c}") for c in comp for f, o in ((F.min, "lo"), (F.max, "hi"))]).toArrow()
     box_lists = found_boxes.column("list").to_numpy()
@@ -278,7 +278,6 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
         if held:
             yield _first_batch(held, comp)
 
-    # A list is written to one file by one task; reading it back in whole-list order needs one shuffle.
     answered, seen = ws.keep(posted.repartition("list").sortWithinPartitions("list").mapInArrow(first, first_schema), more=F.count_if(F.size("todo") > 0))
     done = answered.select("id", "neighbors", "squared")
     if seen["more"]:
