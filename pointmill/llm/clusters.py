@@ -80,20 +80,20 @@ def clustered_cells(spark: SparkSession, features: DataFrame, like: Likeness = L
     points, _ = ws.keep(points.join(named, keys).select("id", *FEATURES, "cell", "n"))
     # Block sides of six radii: a point also enters the next block of an axis if the margin reaches into it.
     side = 6 * like.distance
-    at = points.withColumns({f"b{c}": F.floor(F.col(c) / F.lit(side)) for c in "xyz"})
+    at = points
     for c in "xyz":
-        ahead = F.floor((F.col(c) + F.lit(like.distance * (1 + 1e-9))) / F.lit(side))
-        at = at.withColumn(f"k{c}", F.explode(F.when(ahead != F.col(f"b{c}"), F.array(F.col(f"b{c}"), ahead)).otherwise(F.array(f"b{c}"))))
+        here, ahead = F.floor(F.col(c) / F.lit(side)), F.floor((F.col(c) + F.lit(like.distance * (1 + 1e-9))) / F.lit(side))
+        at = at.withColumn(f"k{c}", F.explode(F.when(ahead != here, F.array(here, ahead)).otherwise(F.array(here))))
     # Named once and used twice, so that both sides of the join share one exchange.
-    at = at.select(*[f"k{c}" for c in "xyz"], *[f"b{c}" for c in "xyz"], *FEATURES, "cell")
+    at = at.select(*[f"k{c}" for c in "xyz"], *FEATURES, "cell")
     a, b = at.alias("a"), at.alias("b")
     same = F.col("a.cell") < F.col("b.cell")
     for c in "xyz":
         same = same & (F.col(f"a.k{c}") == F.col(f"b.k{c}"))
     # A pair that meets in several blocks counts in the one that is home to its further point on every axis.
     for c in "xyz":
-        same = same & (F.col(f"a.k{c}") == F.greatest(f"a.b{c}", f"b.b{c}"))
-    links = a.join(b, same & alike("a", "b", like)).select(F.col("a.cell").alias("u"), F.col("b.cell").alias("v"))
+        same = same & (F.col(f"a.k{c}") == F.floor(F.greatest(f"a.{c}", f"b.{c}") / F.lit(side)))
+    links = a.join(b, alike("a", "b", like) & same).select(F.col("a.cell").alias("u"), F.col("b.cell").alias("v"))
     groups = group_links(spark, links).toDF("cell", "grp")
     cells = points.where("id = cell").select("cell", "n").join(groups, "cell", "left").select("cell", "n", F.coalesce("grp", "cell").alias("group_id"))
     return points, ws.keep(cells)[0]
