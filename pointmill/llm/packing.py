@@ -4,9 +4,9 @@ An item longer than the capacity is cut into full containers and one remainder;
 Items are spread over groups of bounded size, and each group packs its items, largest first, into the tightest
 open container: containers are ordered by residual (a bitmap of occupied residuals gives the successor), and each
 carries bitmaps of its sources and duplicate clusters.  The search goes on to the next residual until it finds
-a container without a conflict.  Spreading copies and sources is a preference: if every container that has room
-conflicts, first the source, then the cluster is disregarded before a new container is opened, so that conflicts never
-cost room.  Containers left open by a group are emptied into the next, smaller round, down to one group.
+a container without a conflict.  Spreading copies and sources must not cost room: if every container with room conflicts,
+a new one is opened as long as the items left exceed the room of the open ones, so that it is needed anyway; after
+that first the source, then the cluster is disregarded.  Containers left open by a group are emptied into the next, smaller round, down to one group.
 
 Bounds: a group has about ``group_items`` items (hash of the item, so a hot source or cluster spreads over all
 groups); each round's items are the contents of the last round's open containers only.
@@ -43,10 +43,10 @@ def best_fit(sizes: np.ndarray, sources: list, clusters: list, capacity: int) ->
     room: list[int] = []
 
     def successor(size: int, mask: int) -> tuple[int, int, int] | None:
-        left = occupied >> size
+        above = occupied >> size
         base = size
-        while left:
-            step = (left & -left).bit_length() - 1
+        while above:
+            step = (above & -above).bit_length() - 1
             base += step
             for sig, held in shelves[base].items():
                 if sig & mask:
@@ -54,18 +54,20 @@ def best_fit(sizes: np.ndarray, sources: list, clusters: list, capacity: int) ->
                 for pos in range(len(held) - 1, -1, -1):
                     if not carried[held[pos]] & mask:
                         return base, sig, pos
-            left >>= step + 1
+            above >>= step + 1
             base += 1
         return None
 
+    left, free = int(sizes.sum()), 0
     for i in np.argsort(-sizes, kind="stable").tolist():
         size = int(sizes[i])
         s, c = bit.get(keys[0][i], 0), bit.get(keys[1][i], 0)
-        found = None
-        for mask in dict.fromkeys((s | c, c, 0)):
-            found = successor(size, mask)
-            if found:
-                break
+        found = successor(size, s | c)
+        if not found and left <= free:  # what is left may fit into the open containers: conflicts give way
+            for mask in dict.fromkeys((c, 0)):
+                found = successor(size, mask)
+                if found:
+                    break
         if found:
             r, sig, pos = found
             shelf = shelves[r][sig]
@@ -80,7 +82,10 @@ def best_fit(sizes: np.ndarray, sources: list, clusters: list, capacity: int) ->
             b, r = len(room), capacity
             room.append(capacity)
             carried.append(0)
+            free += capacity
         room[b] = r = r - size
+        left -= size
+        free -= size
         carried[b] |= s | c
         out[i] = b
         shelves[r].setdefault(carried[b] & hot, []).append(b)

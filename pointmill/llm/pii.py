@@ -37,6 +37,7 @@ FILE_ENDINGS = ["png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js",
 PARTICLES = "van der|van den|van|von der|von|zu|de la|de los|de|del|della|di|da|dos|du|le|la|ter|ten"
 # ---- End of fixed values ----
 
+MOST_NAME_WORDS = 1_000_000
 UP = "A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻĂĹĽĎА-ЯЁ"
 WORD = rf"[{UP}][\w�’']*[\w�]"
 FOLD = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 32, 0xA0: 32, 0x202F: 32, 0x2007: 32, 0x2009: 32, 0x2010: 45, 0x2011: 45}
@@ -272,7 +273,9 @@ MENTIONS = "doc_id bigint, kind string, start_at bigint, end_at bigint, p1 strin
 
 def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
     """All candidate spans of documents(doc_id, text); names(word, name_kind) must be a list of bounded size."""
-    rows = names.where("word is not null").select("word", "name_kind").limit(1_000_000).collect()
+    rows = names.where("word is not null").select("word", "name_kind").limit(MOST_NAME_WORDS + 1).collect()
+    if len(rows) > MOST_NAME_WORDS:
+        raise ValueError(f"the list of name words must have at most {MOST_NAME_WORDS} rows")
     words = documents.sparkSession.sparkContext.broadcast(({r[0].lower() for r in rows if r[1] == "given"}, {r[0].lower() for r in rows if r[1] == "family"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
