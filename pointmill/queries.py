@@ -414,7 +414,40 @@ def _bounds(source: str) -> str:
 
 _PERC = "min(v) FILTER (k = least(n * {q} // 100, n - 1))"
 
+_FIELD = r'[ \t]*(?:"(?:[^"]|"")*"[ \t]*|[^",]*)'
+_FIN = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_INT = r"[+-]?[0-9]+"
+
+
+def _row(kinds: str, csv: bool) -> str:
+    """SQL that is true where ``body`` has valid values of the kinds c, n, w, b, s (see sources/raw_lines.py)."""
+    nums = [_INT if k in "wbs" else _FIN for k in kinds]
+    comma, tail = ("," if csv else r"[ \t]+"), ("$" if csv or len(kinds) > 3 else r"(?:[ \t].*)?$")
+    fields = [rf'[ \t]*(?:{n}|"{n}")[ \t]*' if csv else n for n in nums]
+    plain = "^" + comma.join(rf"[ \t]*({n})[ \t]*" if csv else f"({n})" for n in nums) + tail
+    tests = [f"regexp_matches(body, '^{comma.join(fields)}{tail}', 's')"]
+    for i, k in enumerate(kinds):
+        text = f"regexp_extract(replace(body, chr(34), ''), '{plain}', {i + 1}, 's')" if csv else f"regexp_extract(body, '{plain}', {i + 1}, 's')"
+        low, high = {"n": ("-1", "1"), "b": ("0", "255"), "s": ("0", "1e300")}.get(k, ("-1.7976931348623157e308", "1.7976931348623157e308"))
+        if k != "w":
+            tests.append(f"coalesce(TRY_CAST({text} AS DOUBLE) BETWEEN {low} AND {high}, FALSE)")
+    return " AND ".join(tests)
+
+
+_P2 = rf"""WITH b AS (
+  SELECT line_id, layout, rtrim(regexp_replace(trim(line, ' ' || chr(9)), '\r$', ''), ' ' || chr(9)) AS body
+  FROM raw_lines WHERE line IS NOT NULL AND NOT starts_with(line, '#')),
+c AS (SELECT *, layout IN ('csv6', 'csv7') AS csv FROM b WHERE body <> ''),
+r AS (SELECT line_id, CASE
+  WHEN csv AND NOT regexp_full_match(body, '{_FIELD}(?:,{_FIELD})*') THEN 'quoting'
+  WHEN csv AND length(regexp_replace(regexp_replace(body, '"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) + 1 <> CASE layout WHEN 'csv6' THEN 6 ELSE 7 END THEN 'columns'
+  WHEN NOT csv AND (len(regexp_split_to_array(body, '[ \t]+')) < 3 OR (layout = 'scene7' AND len(regexp_split_to_array(body, '[ \t]+')) <> 7)) THEN 'columns'
+  WHEN NOT CASE layout WHEN 'xyz' THEN {_row('ccc', False)} WHEN 'scene7' THEN {_row('cccwbbb', False)} WHEN 'csv6' THEN {_row('cccnnn', True)} ELSE {_row('cccnnns', True)} END THEN 'value'
+  END AS reason FROM c)
+SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
+
 ORACLE: dict[str, str] = {
+    "p2_found": _P2,
     "bounds_line": f"WITH {_LINE} {_bounds('line')}",
     "bounds_cloud": f"WITH {_CLOUD} {_bounds('cloud')}",
     "spacing_line": f"""WITH {_LINE}, s AS (SELECT count(*) AS n, max(x)-min(x) AS dx, max(y)-min(y) AS dy, max(z)-min(z) AS dz FROM line)
