@@ -194,9 +194,11 @@ def _groups(t: pa.Table, cols: list[str]) -> Iterator[tuple[int, dict[str, np.nd
         yield int(lists[a]), {c: v[a:b] for c, v in data.items()}
 
 
-def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims: list[str], cfg: Config = Config()) -> DataFrame:
+def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims: list[str], cfg: Config = Config(), with_distance: bool = True) -> DataFrame:
     """(id, neighbors array<bigint>, squared array<double>): the k nearest other vectors of each vector.
 
+    Without ``with_distance`` the squared distances may be missing, which halves the written tables.
+
     Vectors with a null or non-finite component or a null id are left out; repeated rows of an id count
     once; other columns are not read.  Fewer than k neighbours come out where the table has fewer.  An empty
     table gives an empty result.
@@ -273,10 +275,10 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
             held.append((q_ids, near, dist, *_uncovered(idx, blo, bhi, at, q, dist[:, -1], cfg.ratio), q))
             rows_held += len(q)
             if rows_held >= 20_000:
-                yield _first_batch(held, comp)
+                yield _first_batch(held, comp, with_distance)
                 held, rows_held = [], 0
         if held:
-            yield _first_batch(held, comp)
+            yield _first_batch(held, comp, with_distance)
 
     answered, seen = ws.keep(posted.repartition("list").sortWithinPartitions("list").mapInArrow(first, first_schema), more=F.count_if(F.size("todo") > 0))
     done = answered.select("id", "neighbors", "squared")
@@ -302,7 +304,9 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
         both = done.join(more, "id", "left")
         own = F.arrays_zip(F.col("squared").alias("sq"), F.col("neighbors").alias("near"))
         merged = F.slice(F.array_sort(F.array_union(own, F.col("more"))), 1, cfg.k)
-        done = both.select("id", F.when(F.col("more").isNull(), own).otherwise(merged).alias("m")).select("id", F.col("m.near").alias("neighbors"), F.col("m.sq").alias("squared"))
+        same = F.col("more").isNull()
+        at = both.select("id", "neighbors", "squared", F.when(~same, merged).alias("m"))
+        done = at.select("id", F.coalesce("m.near", "neighbors").alias("neighbors"), F.coalesce("m.sq", "squared").alias("squared"))
     crowded = points.groupBy(*comp).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cfg.k + 1).drop("_n")
     lead = indexed.join(crowded, comp, "left_semi").groupBy(*comp).agg(F.array_sort(F.collect_list("id")).alias("_top"))
     surplus = points.join(lead, comp).where(~F.array_contains("_top", F.col("id")))
@@ -336,13 +340,16 @@ def _uncovered(idx: Centroids, lo: np.ndarray, hi: np.ndarray, at: int, q: np.nd
     return need.sum(1), near[np.nonzero(need)[1]].astype(np.int32)
 
 
-def _first_batch(held: list[tuple], comp: list[str]) -> pa.RecordBatch:
+def _first_batch(held: list[tuple], comp: list[str], with_distance: bool) -> pa.RecordBatch:
+    """Answers; coordinates (and distances, unless asked for) only where the second round needs them."""
     ids, near, dist, counts, lists, q = (np.concatenate(x) for x in zip(*held))
     ok = near >= 0
     ends = np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)
+    far = ok & (with_distance | (counts > 0))[:, None]
+    far_ends = np.concatenate([[0], np.cumsum(far.sum(1))]).astype(np.int32)
     todo = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(lists))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(near[ok])), pa.ListArray.from_arrays(pa.array(ends), pa.array(dist[ok])), todo, *[pa.array(q[:, i]) for i in range(len(comp))]],
+        [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(near[ok])), pa.ListArray.from_arrays(pa.array(far_ends), pa.array(dist[far])), todo, *[pa.array(q[:, i], mask=counts == 0) for i in range(len(comp))]],
         names=["id", "neighbors", "squared", "todo", *comp],
     )
 

@@ -34,7 +34,7 @@ def p3_scene_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = neighbors.nearest_neighbors(spark, _read(spark, sf, "features"), "point_id", ["x", "y", "z"])
+    found = neighbors.nearest_neighbors(spark, _read(spark, sf, "features"), "point_id", ["x", "y", "z"], with_distance=False)
     return neighbors.neighbor_pairs(found)
 
 
