@@ -245,14 +245,13 @@ def _names(t: str, m: re.Match, taken: _Taken, given: set[str], family: set[str]
             l1 = l2 = "title"
         elif l1 == "" and t[max(at, start - 2) : start] == ", ":
             l1 = l2 = ","
-        # Pairs of unknown words are worth counting only behind a label that ends in a colon or a title.
-        if not (gk or fk) and not (join != ", " and (l1 == "title" or t[at:start].rstrip().endswith((":", "=")))):
-            continue
+        # Pairs of unknown words count at once behind a label that ends in a colon or a title, else (bare) when the graph knows more.
+        bare = not (gk or fk) and not (join != ", " and (l1 == "title" or t[at:start].rstrip().endswith((":", "="))))
         rest = t[end : min(stop, end + 10)].lower().lstrip(" ,.")
         if gs[0] in NOT_NAME_WORDS or fs[-1] in NOT_NAME_WORDS or gs[0] in TITLES or fs[0] in TITLES or any(rest.startswith(w) and not rest[len(w) : len(w) + 1].isalpha() for w in FIRM_WORDS):
             continue
         if not taken.hit(start, end):
-            yield "name", start, end, l1, l2, "-".join(gs), "-".join(fs), int(gk) + 2 * int(fk)
+            yield "name", start, end, l1, l2, "-".join(gs), "-".join(fs), -1 if bare else int(gk) + 2 * int(fk)
 
 
 @dataclass(frozen=True)
@@ -314,16 +313,33 @@ def score_numbers(ws: Workspace, spans: DataFrame, trust: Trust) -> DataFrame:
     return state.where("good").select("kind", "p1", "p2", "i1")
 
 
+def _name_trust(state: DataFrame, support: int) -> DataFrame:
+    """The edges with ps, the share of known names among the mentions of the edge's pattern.
+
+    Bare pairs are held against all mentions of a pattern, the others against those that are not bare.  A lone
+    comma is no pattern for a bare pair.
+    """
+    known, own = F.when(F.col("gk") & F.col("fk"), F.col("n")).otherwise(0), F.when(~F.col("bare"), F.col("n")).otherwise(0)
+
+    def by(key: str, name: str) -> DataFrame:
+        sums = state.groupBy("kind", key).agg(F.sum("n").alias("all"), F.sum(known).alias("k_all"), F.sum(own).alias("own"), F.sum(F.when(~F.col("bare"), known).otherwise(0)).alias("k_own"))
+        return sums.select("kind", key, F.when(F.col("own") >= support, F.col("k_own") / F.col("own")).alias(name), F.when(F.col("all") >= support, F.col("k_all") / F.col("all")).alias(f"{name}_all"))
+
+    at = state.join(by("p2", "w"), ["kind", "p2"], "left").join(by("p1", "l"), ["kind", "p1"], "left")
+    bare = F.when(F.col("p2") != ",", F.coalesce("w_all", "l_all", F.lit(0.0))).otherwise(0.0)
+    ps = F.when(F.col("p2") == "", 0.0).when(F.col("bare"), bare).otherwise(F.coalesce("w", "l", F.lit(0.0)))
+    return at.withColumn("ps", ps).drop("w", "w_all", "l", "l_all")
+
+
 def score_names(ws: Workspace, spans: DataFrame, trust: Trust) -> DataFrame:
     """(p2, i1, i2) of the name pairs to be believed, with newly learned given and family words."""
     edges, _ = ws.keep(
-        spans.where("kind = 'name'").groupBy("p1", "p2", "i1", "i2").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")).withColumns({"kind": F.lit("name"), "gk": F.col("seed") % 2 == 1, "fk": F.col("seed") >= 2})
+        spans.where("kind = 'name'").groupBy("p1", "p2", "i1", "i2").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")).withColumns({"kind": F.lit("name"), "gk": F.col("seed") % 2 == 1, "fk": F.col("seed") >= 2, "bare": F.col("seed") < 0})
     )
     state = edges
+    counted = ~F.col("bare") | F.col("gk") | F.col("fk")
     for _ in range(trust.rounds):
-        label = _shares(state, "p2", F.col("gk") & F.col("fk"), "w", trust.support)
-        narrow = _shares(state, "p1", F.col("gk") & F.col("fk"), "l", trust.support)
-        at = state.join(label, ["kind", "p2"], "left").join(narrow, ["kind", "p1"], "left").withColumn("ps", F.when(F.col("p2") != "", F.coalesce("w", "l", F.lit(0.0))).otherwise(0.0))
+        at = _name_trust(state, trust.support).where(counted)
         strong = F.col("ps") >= trust.name_pattern
 
         def learned(word: str, partner: str) -> DataFrame:
@@ -337,11 +353,8 @@ def score_names(ws: Workspace, spans: DataFrame, trust: Trust) -> DataFrame:
         tagged = state.withColumns({"a1": F.element_at(F.split("i1", "-"), 1), "a2": F.element_at(F.split("i1", "-"), -1), "b1": F.element_at(F.split("i2", "-"), 1), "b2": F.element_at(F.split("i2", "-"), -1)})
         for col, words, flag in (("a1", given, "gk"), ("a2", given, "gk"), ("b1", family, "fk"), ("b2", family, "fk")):
             tagged = tagged.join(words.select(F.col("word").alias(col), F.lit(True).alias("_hit")), col, "left").withColumn(flag, F.col(flag) | F.coalesce("_hit", F.lit(False))).drop("_hit")
-        state, _ = ws.keep(tagged.select("kind", "p1", "p2", "i1", "i2", "n", "gk", "fk"))
-    label = _shares(state, "p2", F.col("gk") & F.col("fk"), "w", trust.support)
-    narrow = _shares(state, "p1", F.col("gk") & F.col("fk"), "l", trust.support)
-    at = state.join(label, ["kind", "p2"], "left").join(narrow, ["kind", "p1"], "left")
-    ps = F.when(F.col("p2") != "", F.coalesce("w", "l", F.lit(0.0))).otherwise(0.0)
+        state, _ = ws.keep(tagged.select("kind", "p1", "p2", "i1", "i2", "n", "gk", "fk", "bare"))
+    at, ps = _name_trust(state, trust.support), F.col("ps")
     good = (F.col("gk") & F.col("fk")) | ((F.col("gk") | F.col("fk")) & (ps >= trust.name_pattern)) | (ps >= 0.9)
     return at.where(good).select("kind", "p1", "p2", "i1", "i2").distinct()
 

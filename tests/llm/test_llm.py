@@ -176,6 +176,17 @@ def test_personal_information(spark):
     assert clean[6] is None and clean[5] == "" and clean[7] == docs[7]
 
 
+def test_pairs_of_learned_words_need_no_label(spark):
+    """Neither word is listed; both are learned beside listed ones, in other documents."""
+    docs = [f"Photo: {a} {b}" for a in ("Velna", "Torva") for b in ("Kessetzi", "Dulclemm", "Orlardun")] * 2
+    docs += [f"Photo: Odelis {b}" for b in ("Kessetzi", "Orlardun")] + [f"Photo: {a} Ulfardun" for a in ("Velna", "Torva")]
+    docs += ["An interview with Odelis Ulfardun – Suite 212", "we met\nUlfardun, Odelis", "the report by Green Works", "so Odelis Works", "Terms, Green Works"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    names = spark.createDataFrame([(w, "given") for w in ("Velna", "Torva")] + [(w, "family") for w in ("Kessetzi", "Dulclemm", "Orlardun")], "word string, name_kind string")
+    got = [(r.doc_id, docs[r.doc_id][r.start_at : r.end_at]) for r in pii.find(spark, df, names).collect() if r.kind == "name"]
+    assert sorted(t for d, t in got if d >= 16) == ["Odelis Ulfardun", "Ulfardun, Odelis"] and len(got) == 18
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     names = spark.createDataFrame([], "word string, name_kind string")
