@@ -195,16 +195,18 @@ def merge_metrics(roots: DataFrame) -> DataFrame:
     )
 
 
-def merge_rounds(spark: SparkSession, vertices: DataFrame, edges: DataFrame, threshold: float, cfg: SegmentationConfig = SegmentationConfig(), max_rounds: int = 200) -> DataFrame:
+def merge_rounds(spark: SparkSession, vertices: DataFrame, edges: DataFrame, threshold: float, cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
     """(point_id, root) by rounds of reciprocal best edges; an approximation of the canonical order.
 
     A round costs a few equi-joins on tables that shrink with the number of regions; nothing is sequential.
+    Rounds go on until none merges: the smallest open edge is the best of both its ends, so each round merges something.
+    A region takes one partner a round, so a hub needs as many rounds as it has leaves.
     """
     ws = Workspace(spark, "rounds")
     regions, _ = ws.keep(vertices.select("point_id", F.col("point_id").alias("root"), "size", *ATTRIBUTES).drop("point_id"))
     live, _ = ws.keep(mergeable_edges(edges, vertices, threshold) if cfg.gates else edges.select("edge_id", "src", "dst", "weight"))
     moves: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         side = regions.select("root", F.struct("size", *ATTRIBUTES).alias("s"))
         full = live.join(side.toDF("src", "a"), "src").join(side.toDF("dst", "b"), "dst")
         ok = F.lit(True)

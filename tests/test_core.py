@@ -283,3 +283,12 @@ def test_graph_helpers(spark):
     assert {r.point_id: r.degree for r in graph.adjacency(e).collect()} == {1: 1, 2: 2, 3: 1}
     stats = graph.graph_stats(spark.range(4), e).first()
     assert stats.average_degree == 1.0 and graph.graph_stats(spark.range(0), e.limit(0)).first().average_degree == 0
+
+
+def test_rounds_go_on_until_none_merges(spark, monkeypatch):
+    """A hub takes one leaf a round; a limit on the rounds, here cut to two so that the test stays small, would leave some apart."""
+    monkeypatch.setattr(merge, "range", lambda n: range(min(n, 2)), raising=False)
+    rows = [(0, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)] + [(i, 1, 0.1 * i, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0) for i in range(1, 5)]
+    verts = spark.createDataFrame(rows, "point_id bigint, size bigint, x double, y double, z double, nx double, ny double, nz double, curvature double")
+    edges = spark.createDataFrame([(i, 0, i, 0.1 * i) for i in range(1, 5)], "edge_id bigint, src bigint, dst bigint, weight double")
+    assert by_id(merge.merge_rounds(spark, verts, edges, 1.0), "root") == [0] * 5
