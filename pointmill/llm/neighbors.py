@@ -284,7 +284,9 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
     done = answered.select("id", "neighbors", "squared")
     if seen["more"]:
         open_q = answered.where(F.size("todo") > 0)
-        asks = open_q.select(F.explode("todo").alias("list"), F.lit(True).alias("ask"), "id", F.element_at("squared", -1).alias("reach"), *comp)
+        # A list with fewer than k other vectors bounds nothing.
+        reach = F.when(F.size("squared") >= cfg.k, F.element_at("squared", cfg.k)).otherwise(F.lit(float("inf")))
+        asks = open_q.select(F.explode("todo").alias("list"), F.lit(True).alias("ask"), "id", reach.alias("reach"), *comp)
         full = asks.unionByName(homes.select("list", F.lit(False).alias("ask"), "id", F.lit(0.0).alias("reach"), *comp))
 
         def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +302,8 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
                 yield pa.RecordBatch.from_arrays([pa.array(g["id"][ask][r]), pa.array(near[r, c]), pa.array(dist[r, c])], names=["id", "near", "sq"])
 
         extra = full.repartition("list").sortWithinPartitions("list").mapInArrow(second, "id bigint, near bigint, sq double")
-        more = extra.groupBy("id").agg(F.collect_set(F.struct(F.col("sq"), F.col("near"))).alias("more"))
+        # Cut to k before the union, which compares all with all: a vector without a bound has asked every list.
+        more = extra.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col("sq"), F.col("near")))), 1, cfg.k).alias("more"))
         both = done.join(more, "id", "left")
         own = F.arrays_zip(F.col("squared").alias("sq"), F.col("neighbors").alias("near"))
         merged = F.slice(F.array_sort(F.array_union(own, F.col("more"))), 1, cfg.k)

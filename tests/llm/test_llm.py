@@ -81,6 +81,19 @@ def test_nearest_vectors_are_exact(spark, shape):
     assert got == want
 
 
+@pytest.mark.parametrize("far", [1, 2, 3])
+def test_nearest_vectors_of_lists_with_few_rows(spark, far):
+    """One, two or three vectors alone in their list have their remaining neighbours in the other lists."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.uniform(0, 1, (193 - far, 3)), rng.uniform(0, 1, (far, 3)) + 1e6])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], PT)
+    found = neighbors.nearest_neighbors(spark, df, "point_id", ["x", "y", "z"]).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert {r.id: list(r.neighbors) for r in found} == {i: np.argsort(d[i], kind="stable")[:3].tolist() for i in range(len(x))}
+    assert all(len(r.squared) == 3 for r in found)
+
+
 def test_no_vectors(spark):
     assert neighbors.nearest_neighbors(spark, spark.createDataFrame([], PT), "point_id", ["x", "y", "z"]).count() == 0
 
