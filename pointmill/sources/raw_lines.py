@@ -107,7 +107,9 @@ def _value(text: str, kind: str) -> float | int | None:
     if kind in "wbs":
         if not re.fullmatch(WHOLE, text):
             return None
-        v = int(text)
+        digits = text.lstrip("+-").lstrip("0") or "0"
+        # Twenty digits are beyond a bigint whatever follows, so longer numbers need no conversion.
+        v = int(digits[:20]) * (-1 if text[0] == "-" else 1)
         if (kind == "b" and not 0 <= v <= 255) or (kind == "s" and v < 0):
             return None
         return v

@@ -8,6 +8,8 @@ CASES = [
     ("csv6", '"1"x,2,3,0,0,1', "quoting"), ("csv6", '1,2,3,"0,0",1', "columns"), ("csv6", '1,2,3,"0""",0,1', "value"), ("csv6", "1,2,3,0,0,", "value"), ("csv7", "1,2,3,0,0,1,7\r", None),
     ("csv7", "1,2,3,0,0,1,-1", "value"), ("csv7", "1,2,3,0,0,1", "columns"), ("csv7", "1,2,3,0,0,1,99999999999999999999", None), ("nope", "1 2 3", "layout"), (None, "1 2 3", "layout"),
     ("xyz", None, "skip"), ("xyz", "  \t ", "skip"), ("csv6", "# 1,2", "skip"), ("xyz", "\r", "skip"), ("xyz", "", "skip"), ("xyz", "7 " * 20_000, None),
+    ("scene7", "1 2 3 " + "9" * 5000 + " 0 0 0", None), ("scene7", "1 2 3 -" + "0" * 5000 + " 0 0 0", None), ("scene7", "1 2 3 4 0 0 " + "1" * 5000, "value"), ("scene7", "1 2 3 4 0 0 " + "0" * 5000 + "7", None),
+    ("csv7", "1,2,3,0,0,1," + "8" * 5000, None), ("csv7", "1,2,3,0,0,1,-" + "8" * 5000, "value"), ("csv7", "1,2,3,0,0,1,-" + "0" * 5000, None), ("xyz", "9" * 5000 + " 2 3", "value"), ("xyz", "0." + "9" * 5000 + " 2 3", None),
 ]
 
 
@@ -31,3 +33,9 @@ def test_bulk_values_equal_strict_values(spark):
     df = spark.createDataFrame([(i, "f", i, "xyz", x) for i, x in enumerate(lines)], "line_id bigint, file_name string, line_num bigint, layout string, line string")
     for r in parse_lines(df).collect():
         assert [r.x, r.y, r.z] == strict(lines[r.line_id], "xyz")[0]
+
+
+def test_whole_numbers_beyond_a_bigint_are_valid_and_null(spark):
+    lines = ["1 2 3 " + "9" * 5000 + " 0 0 7", "1 2 3 -" + "9" * 19 + " 0 0 7", "1 2 3 -" + "0" * 5000 + "12 0 0 7"]
+    df = spark.createDataFrame([(i, "f", i, "scene7", x) for i, x in enumerate(lines)], "line_id bigint, file_name string, line_num bigint, layout string, line string")
+    assert [(r.intensity, r.b, r.reason) for r in sorted(parse_lines(df).collect())] == [(None, 7, None), (None, 7, None), (-12, 7, None)]
