@@ -9,8 +9,8 @@ from dataclasses import dataclass
 class SegmentationConfig:
     """Defaults equal the documented command line; ``curvature_percentile`` is honoured.
 
-    ``merge_strategy`` is "components" (exact, one kernel call per bundle of connected components) or
-    "rounds" (distributed approximation for components too large for one worker).
+    ``max_component`` is the number of points up to which a connected component is merged by one task; larger ones
+    are merged in levels over many tasks, with the same labels.
     """
 
     normal_radius: float = 0.5
@@ -24,8 +24,7 @@ class SegmentationConfig:
     inclusive: bool = True
     voxel_size: float = 0.4
     num_classes: int = 9
-    merge_strategy: str = "components"
-    max_component: int = 2_000_000
+    max_component: int = 200_000
     bundle_edges: int = 500_000
 
 

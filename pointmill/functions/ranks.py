@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.workspace import Workspace
 
-BUCKET = 65_536
-
-
-def number_rows(df: DataFrame, key: str, order: list[str], name: str, start: int = 0) -> DataFrame:
-    """Adds ``name``: the row's position by ``order``, whose first column is the bigint ``key``.
+def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Adds ``name``: the row's position by ``order`` from ``start``; the result is written once and can be read again.
 
-    Rows are bucketed by ``key div BUCKET``; only the bucket counts meet in one task, rows are numbered bucket
-    by bucket.  ``key`` should be close to unique (a bucket's rows are sorted in one task).
+    Rows are sorted in range partitions whose cuts come from the data, so neither a single value of the
+    first column nor sparse keys gather rows in one task; only one count per partition is summed up in one.
     """
-    bucket = F.floor(F.col(key) / F.lit(BUCKET))
-    at = df.withColumn("_b", bucket)
-    counts = at.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return at.withColumn("_i", inside).join(offsets, "_b").withColumn(name, F.col("_o") + F.col("_i") + F.lit(start - 1)).drop("_b", "_i", "_o")
+    ws = Workspace(df.sparkSession, "numbers")
+    at = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The second column counts from 0 within its partition in its low 33 bits.
+    at = at.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    rows, _ = ws.keep(at)
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"))
+    return rows.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i") + F.lit(start)).drop("_p", "_i", "_o")
 
 
 def index_percentiles(df: DataFrame, value: Column, percents: list[int], buckets: int = 4096) -> DataFrame:
@@ -37,13 +39,18 @@ def index_percentiles(df: DataFrame, value: Column, percents: list[int], buckets
     vals, ends = ws.keep(df.select(value.cast("double").alias("v")).where("v is not null"), lo=F.min("v"), hi=F.max("v"), n=F.count("v"))
     lo, n = ends["lo"] or 0.0, ends["n"]
     width = ((ends["hi"] or 0.0) - lo) or 1.0
+    if not n:
+        return spark.createDataFrame([(q, 0, 0.0) for q in percents], "q bigint, n bigint, value double")
     placed = vals.select("v", F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1)).alias("b"))
-    counts = placed.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    counts, _ = ws.keep(counts.select("b", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("below")))
-    wanted = spark.createDataFrame([(q, n, min(n * q // 100, n - 1)) for q in percents], "q bigint, n bigint, rank bigint")
-    hit = F.broadcast(wanted).join(counts, (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("c")))
-    inside = placed.join(F.broadcast(hit.select("b").distinct()), "b").groupBy("b", "v").agg(F.count(F.lit(1)).alias("m"))
+    counts = sorted(placed.groupBy("b").agg(F.count(F.lit(1)).alias("c")).collect())  # at most ``buckets`` rows
+    upper = list(accumulate(r.c for r in counts))
+    wanted = []
+    for q in percents:
+        rank = min(n * q // 100, n - 1)
+        at = bisect_right(upper, rank)
+        wanted.append((q, counts[at].b, rank - upper[at] + counts[at].c))
+    hit = spark.createDataFrame(wanted, "q bigint, b bigint, rank bigint")
+    inside = placed.where(F.col("b").isin(*{b for _, b, _ in wanted})).groupBy("b", "v").agg(F.count(F.lit(1)).alias("m"))
     upto = inside.withColumn("cum", F.sum("m").over(Window.partitionBy("b").orderBy("v")))
-    found = hit.join(upto, "b").where(F.col("below") + F.col("cum") > F.col("rank")).groupBy("q").agg(F.min("v").alias("value"))
-    return wanted.join(found, "q", "left").select("q", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
+    found = upto.join(F.broadcast(hit), "b").where("cum > rank").groupBy("q").agg(F.min("v").alias("value"))
+    return found.select("q", F.lit(n).cast("bigint").alias("n"), "value")

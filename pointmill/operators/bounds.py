@@ -37,4 +37,4 @@ def voxel_means(points: DataFrame, size: float) -> DataFrame:
 
 def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
     """Averaged points numbered in the order of their voxels (point_id, x, y, z, size)."""
-    return number_rows(voxel_means(points, size), "vx", ["vx", "vy", "vz"], "point_id").select("point_id", "x", "y", "z", F.col("n").alias("size"))
+    return number_rows(voxel_means(points, size), ["vx", "vy", "vz"], "point_id").select("point_id", "x", "y", "z", F.col("n").alias("size"))

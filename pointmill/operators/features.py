@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from pointmill.functions.eigen import with_smallest_eigenpair
 from pointmill.functions.ranks import index_percentiles
 from pointmill.functions.vector import dot, usable_normal
-from pointmill.operators.neighbors import radius_pairs
+from pointmill.operators.neighbors import near_pairs
 
 MOMENTS = {"xx": ("x", "x"), "yy": ("y", "y"), "zz": ("z", "z"), "xy": ("x", "y"), "xz": ("x", "z"), "yz": ("y", "z")}
 
 
-def covariances(points: DataFrame, radius: float, inclusive: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+def covariances(points: DataFrame, radius: float, inclusive: bool = True) -> DataFrame:
     """(point_id, n_neighbors, x, y, z, xx..yz): population covariance of the offsets to all points within
     ``radius``, the point itself included.
 
     Offsets are taken from the query point, so sums stay small whatever the cloud's origin.  Each half pair
-    serves both of its points; the point itself adds one to the count and nothing to the sums.
+    serves both of its points; the point itself adds one to the count and nothing to the sums.  Sums are combined
+    in the join's own tasks, so a point leaves them once for each block it lies in, not once for each neighbour.
     """
-    pairs = radius_pairs(points, radius, inclusive) if pairs is None else pairs.where(F.col("d2") <= radius * radius)
     p = points.select("point_id", *"xyz")
-    ends = pairs.join(p.toDF("src", "ax", "ay", "az"), "src").join(p.toDF("dst", "bx", "by", "bz"), "dst")
-    off = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]
-    one = F.struct(F.col("src").alias("point_id"), *[o.alias(f"d{c}") for c, o in zip("xyz", off)])
-    two = F.struct(F.col("dst").alias("point_id"), *[(-o).alias(f"d{c}") for c, o in zip("xyz", off)])
+    off = [F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz"]
+    one = F.struct(F.col("a.point_id").alias("point_id"), *[o.alias(f"d{c}") for c, o in zip("xyz", off)])
+    two = F.struct(F.col("b.point_id").alias("point_id"), *[(-o).alias(f"d{c}") for c, o in zip("xyz", off)])
     null = [F.lit(None).cast("double").alias(c) for c in "xyz"]
-    both = ends.select(F.inline(F.array(one, two))).select("*", *null)
+    both = near_pairs(p, radius, inclusive).select(F.inline(F.array(one, two))).select("*", *null)
     own = p.select("point_id", *[F.lit(0.0).alias(f"d{c}") for c in "xyz"], *"xyz")
     sums = [F.sum(f"d{c}").alias(f"s{c}") for c in "xyz"] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{k}") for k, (i, j) in MOMENTS.items()]
     # The point's own row brings its position along, so no join back is needed.
@@ -37,10 +36,10 @@ def covariances(points: DataFrame, radius: float, inclusive: bool = True, pairs:
     return agg.select("point_id", "n_neighbors", *"xyz", *cov)
 
 
-def surface_features(points: DataFrame, radius: float, inclusive: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+def surface_features(points: DataFrame, radius: float, inclusive: bool = True) -> DataFrame:
     """FEATURES rows.  Fewer than three points in reach give normal (0, 0, 1) and curvature 0; a normal points
     towards the origin of the coordinates."""
-    raw = with_smallest_eigenpair(covariances(points, radius, inclusive, pairs))
+    raw = with_smallest_eigenpair(covariances(points, radius, inclusive))
     e = [F.col(c) for c in ("ex", "ey", "ez")]
     flip = F.when(dot(e, [F.col(c) for c in "xyz"]) > 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     few = F.col("n_neighbors") < 3

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pointmill.functions.ranks import number_rows
 from pointmill.functions.vector import angle, edge_weight, triple
-from pointmill.operators.neighbors import radius_pairs
+from pointmill.operators.neighbors import near_pairs
+from pointmill.workspace import Workspace
 
 ATTRIBUTES = ["x", "y", "z", "nx", "ny", "nz", "curvature"]
 
@@ -24,19 +25,26 @@ def with_ends(edges: DataFrame, features: DataFrame) -> DataFrame:
     return edges.join(side.toDF("src", "a"), "src").join(side.toDF("dst", "b"), "dst")
 
 
-def build_edges(features: DataFrame, radius: float, angle_weight: float = 0.5, curvature_weight: float = 1.0, inclusive: bool = True, pairs: DataFrame | None = None, weight: Column | None = None) -> DataFrame:
-    """EDGES of all pairs within ``radius``, numbered by (src, dst); ``weight`` may be any expression over a and b."""
-    pairs = radius_pairs(features, radius, inclusive) if pairs is None else pairs.where(F.col("d2") <= radius * radius)
+def build_edges(features: DataFrame, radius: float, angle_weight: float = 0.5, curvature_weight: float = 1.0, inclusive: bool = True, weight: Column | None = None) -> DataFrame:
+    """EDGES of all pairs within ``radius``, numbered by (src, dst), and the larger curvature of their ends; ``weight`` may be any expression over a and b.
+
+    The ends' attributes travel through the radius join, so an edge is complete when it is found.
+    """
     w = edge_weight("a", "b", angle_weight, curvature_weight) if weight is None else weight
-    weighed = with_ends(pairs, features).select("src", "dst", w.alias("weight"))
-    return number_rows(weighed, "src", ["src", "dst"], "edge_id", start=0).select("edge_id", "src", "dst", "weight")
+    pairs = near_pairs(features.select("point_id", *ATTRIBUTES), radius, inclusive)
+    found = pairs.select(F.col("a.point_id").alias("src"), F.col("b.point_id").alias("dst"), w.alias("weight"), F.greatest("a.curvature", "b.curvature").alias("curvature"))
+    ws = Workspace(features.sparkSession, "edges")  # written before it is numbered: cutting the ranges reads it once more
+    return number_rows(ws.keep(found)[0], ["src", "dst"], "edge_id").select("edge_id", "src", "dst", "weight", "curvature")
 
 
 def mergeable_edges(edges: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
     """Edges whose larger curvature is within the threshold.  Curvature never changes and every root is an
     original point, so dropping the others before the merge leaves all labels as they are."""
+    names = ["edge_id", "src", "dst", "weight"]
+    if "curvature" in edges.columns:
+        return edges.where(F.col("curvature") <= threshold).select(*names)
     flat = features.where(F.col("curvature") <= threshold).select("point_id")
-    return edges.join(flat.toDF("src"), "src", "left_semi").join(flat.toDF("dst"), "dst", "left_semi").select("edge_id", "src", "dst", "weight")
+    return edges.join(flat.toDF("src"), "src", "left_semi").join(flat.toDF("dst"), "dst", "left_semi").select(*names)
 
 
 def smooth_edges(edges: DataFrame, features: DataFrame, max_angle: float, threshold: float) -> DataFrame:

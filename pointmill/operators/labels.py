@@ -14,7 +14,7 @@ def dense_labels(roots: DataFrame) -> DataFrame:
     The numbering does not depend on which vertex became the root.
     """
     firsts = roots.groupBy("root").agg(F.min("point_id").alias("first"))
-    ranked = number_rows(firsts, "first", ["first"], "segment_id", start=0)
+    ranked = number_rows(firsts, ["first"], "segment_id")
     return roots.join(ranked, "root").select("point_id", "segment_id")
 
 

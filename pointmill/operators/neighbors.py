@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointmill.functions.vector import distance_squared, triple
+from pointmill.functions.vector import distance_squared, finite, triple
 from pointmill.workspace import Workspace
 
 
@@ -32,21 +32,25 @@ def same_block(a: str, b: str) -> Column:
     return reduce(lambda p, q: p & q, keys + once)
 
 
-def radius_pairs(points: DataFrame, radius: float, inclusive: bool = True, side_factor: float = 2.0) -> DataFrame:
-    """(src, dst, d2) with src < dst of all pairs of points within ``radius``.
+def near_pairs(points: DataFrame, radius: float, inclusive: bool = True, side_factor: float = 2.0) -> DataFrame:
+    """The rows of ``points`` as sides a and b (a.point_id < b.point_id), joined where they are within ``radius``.
 
+    Whatever the caller reads of the two sides comes out of this join, so nothing has to be fetched back by id.
     Points with a null or non-finite coordinate have no pairs.  Both sides of the join are the same
     expression, so Spark shuffles it once and reads it twice; AQE splits blocks that hold too many points.
     """
-    ok = F.lit(True)
-    for c in "xyz":
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
-    at = in_blocks(points.where(ok).select("point_id", "x", "y", "z"), radius, side_factor * radius)
+    ok = reduce(lambda p, q: p & q, [finite(F.col(c)) for c in "xyz"])
+    at = in_blocks(points.where(ok), radius, side_factor * radius)
     a, b = at.alias("a"), at.alias("b")
     d2 = distance_squared(triple("a"), triple("b"))
     near = (d2 <= radius * radius) if inclusive else (d2 < radius * radius)
-    pairs = a.join(b, same_block("a", "b") & (F.col("a.point_id") < F.col("b.point_id")) & near)
-    return pairs.select(F.col("a.point_id").alias("src"), F.col("b.point_id").alias("dst"), d2.alias("d2"))
+    return a.join(b, same_block("a", "b") & (F.col("a.point_id") < F.col("b.point_id")) & near)
+
+
+def radius_pairs(points: DataFrame, radius: float, inclusive: bool = True, side_factor: float = 2.0) -> DataFrame:
+    """(src, dst, d2) with src < dst of all pairs of points within ``radius``."""
+    pairs = near_pairs(points.select("point_id", "x", "y", "z"), radius, inclusive, side_factor)
+    return pairs.select(F.col("a.point_id").alias("src"), F.col("b.point_id").alias("dst"), distance_squared(triple("a"), triple("b")).alias("d2"))
 
 
 def radius_pairs_brute(points: DataFrame, radius: float) -> DataFrame:
@@ -63,33 +67,70 @@ def degrees(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def nearest_label(spark: SparkSession, raw: DataFrame, centers: DataFrame, label: str, cell: float, growth: int = 4) -> DataFrame:
-    """(point_id, label): label of the nearest row of ``centers`` for each row of ``raw``, ties to the smaller center id; 0 if there are no centers.
+    """(point_id, label): label of the nearest row of ``centers`` for each row of ``raw``, ties to the smaller center id.
 
     Centers are listed in the 27 cells around them, raw points look into their own cell only; a nearest center
-    within one cell's length is final.  What is left looks again in a grid ``growth`` times as coarse, so
-    sparse outliers cost extra rounds, not the dense bulk.  Exact.
+    within one cell's length is final.  The rest, sparse outliers, descends a pyramid of cells ``growth`` times as
+    wide from level to level: at each level it keeps the cells whose box may still hold the nearest center.  Exact.
+
+    The label is 0 for raw points with a null or non-finite coordinate, and for all if no center has a finite position.
     """
     ws = Workspace(spark, "nearest")
-    lab = centers.select(F.col("point_id").alias("center_id"), F.col(label).alias("label"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
-    todo, done = raw.select("point_id", "x", "y", "z"), []
-    if centers.isEmpty():
-        return todo.select("point_id", F.lit(0).cast(centers.schema[label].dataType).alias("label"))
+    ok = reduce(lambda p, q: p & q, [finite(F.col(c)) for c in "xyz"])
+    kind = centers.schema[label].dataType
+    none = F.lit(0).cast(kind).alias("label")
+    lab = centers.where(ok).select(F.col("point_id").alias("center_id"), F.col(label).alias("label"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    lab, got = ws.keep(lab, n=F.count(F.lit(1)))
+    todo = raw.select("point_id", "x", "y", "z")
+    if not got["n"]:
+        return todo.select("point_id", none)
+    lost = todo.where(~F.coalesce(ok, F.lit(False))).select("point_id", none)
+    todo = todo.where(ok)
+    cells = {f"c{c}": F.floor(F.col(f"t{c}") / F.lit(cell)) for c in "xyz"}
+    spread = lab.withColumns(cells)
+    for c in "xyz":
+        spread = spread.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + F.lit(s) for s in (-1, 0, 1)])))
+    d2 = distance_squared(triple(""), [F.col(f"t{c}") for c in "xyz"])
+    home = {f"c{c}": F.floor(F.col(c) / F.lit(cell)) for c in "xyz"}
+    met = todo.withColumns(home).join(spread, ["cx", "cy", "cz"], "left")
+    rival = F.when(d2 <= cell * cell, F.struct(d2.alias("d2"), F.col("center_id").alias("center_id"), F.col("label").alias("label")))
+    # A raw point's candidates share its cell, hence its partition: this aggregates fully before the shuffle.
+    best = met.groupBy("point_id").agg(F.min(rival).alias("best"), *[F.first(c).alias(c) for c in "xyz"])
+    seen, got = ws.keep(best, left=F.count_if(F.col("best").isNull()))
+    done = seen.where("best is not null").select("point_id", "best.label").unionByName(lost)
+    return done.unionByName(_descend(ws, seen.where("best is null").select("point_id", *"xyz"), lab, cell, growth)) if got["left"] else done
+
+
+def _descend(ws: Workspace, todo: DataFrame, centers: DataFrame, cell: float, growth: int, top: int = 64) -> DataFrame:
+    """(point_id, label) of the nearest center: candidate cells are narrowed from the pyramid's top, of at most ``top`` cells, to its ground."""
+    names = ["cx", "cy", "cz"]
+    boxes = [f(f"t{c}").alias(f"{o}{c}") for c in "xyz" for f, o in ((F.min, "lo"), (F.max, "hi"))]
+    outer = [f(f"{o}{c}").alias(f"{o}{c}") for c in "xyz" for f, o in ((F.min, "lo"), (F.max, "hi"))]
+    ground = centers.withColumns({n: F.floor(F.col(f"t{c}") / F.lit(cell)) for n, c in zip(names, "xyz")})
+    level, got = ws.keep(ground.groupBy(*names).agg(*boxes), n=F.count(F.lit(1)))
+    levels = [level]
+    while got["n"] > top:
+        up = level.withColumns({n: F.floor(F.col(n) / F.lit(growth)) for n in names}).groupBy(*names).agg(*outer)
+        level, got = ws.keep(up, n=F.count(F.lit(1)))
+        levels.append(level)
+    nearest, farthest = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        p, lo, hi = F.col(c), F.col(f"lo{c}"), F.col(f"hi{c}")
+        gap, far = F.greatest(F.lit(0.0), lo - p, p - hi), F.greatest(F.abs(p - lo), F.abs(p - hi))
+        nearest, farthest = nearest + gap * gap, farthest + far * far
+    held = todo.join(F.broadcast(levels.pop()), how="cross")  # at most ``top`` rows on the right
     while True:
-        home = {f"c{c}": F.floor(F.col(c) / F.lit(cell)) for c in "xyz"}
-        spread = lab.withColumns({f"c{c}": F.floor(F.col(f"t{c}") / F.lit(cell)) for c in "xyz"})
-        for c in "xyz":
-            spread = spread.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + F.lit(s) for s in (-1, 0, 1)])))
-        d2 = distance_squared(triple(""), [F.col(f"t{c}") for c in "xyz"])
-        met = todo.withColumns(home).join(spread, ["cx", "cy", "cz"]).select("point_id", "label", F.struct(d2.alias("d2"), F.col("center_id").alias("center_id")).alias("o"))
-        # A raw point's candidates share its cell, hence its partition: this aggregates fully before the shuffle.
-        best = met.groupBy("point_id").agg(F.min_by("label", "o").alias("label"), F.min("o.d2").alias("d2"))
-        seen, got = ws.keep(todo.join(best, "point_id", "left"), left=F.count_if(F.col("d2").isNull() | (F.col("d2") > cell * cell)))
-        final = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
-        done.append(seen.where(final).select("point_id", "label"))
-        if not got["left"]:
+        reach = Window.partitionBy("point_id")
+        held = held.withColumns({"_near": nearest, "_far": F.min(farthest).over(reach)}).where(F.col("_near") <= F.col("_far") * (1 + 1e-9)).select("point_id", *"xyz", *names)
+        held, _ = ws.keep(held)
+        if not levels:
             break
-        todo, cell = seen.where(~final).select("point_id", "x", "y", "z"), cell * growth
-    return reduce(DataFrame.unionByName, done)
+        below = levels.pop()
+        above = {f"_{n}": F.floor(F.col(n) / F.lit(growth)) for n in names}
+        held = held.toDF("point_id", *"xyz", *[f"_{n}" for n in names]).join(below.withColumns(above), [f"_{n}" for n in names]).drop(*[f"_{n}" for n in names])
+    d2 = distance_squared(triple(""), [F.col(f"t{c}") for c in "xyz"])
+    met = held.join(ground, names).select("point_id", F.struct(d2.alias("d2"), "center_id", "label").alias("o"))
+    return met.groupBy("point_id").agg(F.min("o").alias("o")).select("point_id", "o.label")
 
 
 def zip_by_id(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -34,7 +34,6 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--search_radius", type=float, default=d.search_radius)
     s.add_argument("--angle_threshold", type=float, default=d.angle_threshold)
     s.add_argument("--curvature_percentile", type=int, default=d.curvature_percentile)
-    s.add_argument("--merge_strategy", choices=["components", "rounds"], default=d.merge_strategy)
     v = sub.add_parser("downsample", help="thin a cloud to one mean point per voxel")
     v.add_argument("input")
     v.add_argument("output")
@@ -72,14 +71,13 @@ def main(argv: list[str] | None = None) -> int:
         if cloud.isEmpty():
             print(f"no points in {args.input}", file=sys.stderr)
             return 1
-        cfg = SegmentationConfig(args.normal_radius, args.search_radius, args.angle_threshold, args.curvature_percentile, merge_strategy=args.merge_strategy)
+        cfg = SegmentationConfig(args.normal_radius, args.search_radius, args.angle_threshold, args.curvature_percentile)
         run = pipeline.segment(spark, cloud, cfg)
         io.write_labels(run.labels, args.output)
         stats, graph_row = features.curvature_stats(run.features).first(), graph.graph_stats(run.features, run.edges).first()
         print(f"skipped lines {rejects.count()}, curvature {stats.asDict()}, threshold {run.threshold:.6g}, angle {math.degrees(cfg.angle_threshold):.1f} degrees")
         print(f"graph {graph_row.asDict()}, segments {run.labels.select('segment_id').distinct().count()}")
-        if run.roots is not None:
-            print(f"merge {merge.merge_metrics(run.roots).first().asDict()}")
+        print(f"merge {merge.merge_metrics(run.roots).first().asDict()}")
         print("seconds " + ", ".join(f"{k} {t:.2f}" for k, t in run.seconds.items()))
     elif args.command == "downsample":
         cloud = io.read_matrix(spark, args.input, ["x", "y", "z"])

@@ -42,7 +42,7 @@ class Segmentation:
     features: DataFrame
     edges: DataFrame
     threshold: float
-    roots: DataFrame | None
+    roots: DataFrame
     labels: DataFrame
     seconds: dict[str, float] = field(default_factory=dict)
 
@@ -50,28 +50,24 @@ class Segmentation:
 def segment(spark: SparkSession, points: DataFrame, cfg: SegmentationConfig = SegmentationConfig()) -> Segmentation:
     """Features, graph, threshold, merge and dense labels of POINTS (optionally with a ``size`` column).
 
-    One radius join serves both uses: it is made at the larger radius, written once and filtered for each.
+    Points are joined within the radius once for the features and once, with the features on board, for the edges:
+    points travel in a few copies each, pairs never leave the task that finds them but as sums or finished edges.
     """
     ws, t, secs = Workspace(spark, "segment"), Timer(), {}
-    kept, seen = ws.keep(points.select("point_id", "x", "y", "z", *[c for c in ("size",) if c in points.columns]), n=F.count(F.lit(1)))
-    pairs, _ = ws.keep(neighbors.radius_pairs(kept, max(cfg.normal_radius, cfg.search_radius), cfg.inclusive))
-    secs["pairs"] = t.restart()
-    feats = features.surface_features(kept, cfg.normal_radius, cfg.inclusive, pairs)
+    kept, _ = ws.keep(points.select("point_id", "x", "y", "z", *[c for c in ("size",) if c in points.columns]))
+    secs["points"] = t.restart()
+    feats = features.surface_features(kept, cfg.normal_radius, cfg.inclusive)
     if "size" in kept.columns:
         feats = feats.join(kept.select("point_id", "size"), "point_id")
     feats, _ = ws.keep(feats)
     threshold = features.curvature_threshold(feats, cfg.curvature_percentile)
     secs["features"] = t.restart()
-    edges, _ = ws.keep(graph.build_edges(feats, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight, cfg.inclusive, pairs))
+    edges = graph.build_edges(feats, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight, cfg.inclusive)
     secs["graph"] = t.restart()
     verts = graph.vertices(feats)
-    if cfg.merge_strategy == "rounds":
-        roots, out = None, merge.merge_rounds(spark, verts, edges, threshold, cfg)
-    else:
-        roots = merge.merge_components(spark, verts, edges, threshold, cfg)
-        out = roots.select("point_id", "root")
+    roots = merge.merge_components(spark, verts, edges, threshold, cfg)
     secs["merge"] = t.restart()
-    lab, _ = ws.keep(labels.dense_labels(out))
+    lab, _ = ws.keep(labels.dense_labels(roots.select("point_id", "root")))
     secs["labels"] = t.restart()
     return Segmentation(feats, edges, threshold, roots, lab, secs)
 

@@ -137,12 +137,12 @@ def edge_weights_emb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edge_weights_legacy_emb(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(graph.build_edges(_emb_features(spark, sf), R_EMB, curvature_weight=0.0), 4)
+    return rounded(graph.build_edges(_emb_features(spark, sf), R_EMB, curvature_weight=0.0).select("edge_id", "src", "dst", "weight"), 4)
 
 
 def _flat_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     f = _emb_features(spark, sf)
-    return f, Workspace(spark, "emb").keep(graph.build_edges(f, R_EMB))[0]
+    return f, graph.build_edges(f, R_EMB)
 
 
 def pruned_edges_emb(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ def adjacency_emb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, f: DataFrame, cfg: SegmentationConfig) -> DataFrame:
-    e = Workspace(spark, "emb").keep(graph.build_edges(f, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight))[0]
+    e = graph.build_edges(f, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight)
     return merge.merge_components(spark, graph.vertices(f), e, features.curvature_threshold(f, cfg.curvature_percentile), cfg)
 
 
@@ -230,10 +230,10 @@ def region_table_emb(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(merge.region_table(_merged(spark, _emb_features(spark, sf), CFG)))
 
 
-def merge_rounds_emb(spark: SparkSession, sf: str) -> DataFrame:
-    f = _emb_features(spark, sf)
-    roots = merge.merge_rounds(spark, graph.vertices(f), graph.build_edges(f, R_EMB), features.curvature_threshold(f), CFG)
-    return labels.dense_labels(roots)
+def merge_levels_emb(spark: SparkSession, sf: str) -> DataFrame:
+    """greedy_merge_emb as for a component that is too large for one task."""
+    cfg = replace(CFG, max_component=60, bundle_edges=200)
+    return labels.dense_labels(_merged(spark, _emb_features(spark, sf), cfg).select("point_id", "root"))
 
 
 def segmentation_cloud(spark: SparkSession, sf: str) -> DataFrame:
@@ -328,7 +328,7 @@ QUERIES: dict[str, Query] = {
         local_covariance_emb, curvature_emb, curvature_cloud, normals_emb, curvature_stats_emb, curvature_threshold_emb, curvature_percentiles_features, edge_weights_emb,
         edge_weights_legacy_emb, pruned_edges_emb, angle_gated_edges_emb, components_emb, components_cloud, smooth_components_emb, dense_relabel_emb, segment_sizes_emb,
         segment_count_emb, average_degree_emb, active_counts_emb, adjacency_emb, greedy_merge_emb, greedy_merge_legacy_emb, threshold_sweep_emb, merge_metrics_emb,
-        region_table_emb, merge_rounds_emb, segmentation_cloud, cluster_class_histogram, majority_class, cluster_purity, purity_summary, gt_distribution, mapped_labels,
+        region_table_emb, merge_levels_emb, segmentation_cloud, cluster_class_histogram, majority_class, cluster_purity, purity_summary, gt_distribution, mapped_labels,
         confusion_matrix, per_class_iou, mean_iou, overall_accuracy, nn_label_transfer_cloud, zip_visualization, xyz_text_parse, p2_found, p2_points, p6_found,
     )
 }

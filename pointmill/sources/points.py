@@ -93,7 +93,7 @@ def write_lines(df: DataFrame, line: Column, path: str, header: str | None = Non
     df.orderBy("point_id").select(line.alias("value")).write.mode("overwrite").text(path)
     if header is not None:
         jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/part-00000-0header.txt")
+        target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/part-00000--header.txt")
         out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
         out.write(bytearray((header + "\n").encode()))
         out.close()
