@@ -9,7 +9,8 @@ as far as the home centroid.
 Search.  Each list answers its home vectors from its own rows and replicas.  The distance ratio also tells which other
 lists are surely covered by replicas; lists that are not, and whose bounding box reaches into the
 sphere of a vector's k-th neighbour, are searched in a second round (the exact check), so the result is the
-exact k nearest neighbours with ties by the smaller id.
+exact k nearest neighbours with ties by the smaller id.  A vector whose list holds fewer than k others takes its
+radius from the boxes: the nearest ones by their farthest corner that hold k vectors together.
 
 Skew.  Vectors at one place are collapsed to their k + 1 smallest ids before they are indexed (the window
 limit runs before the shuffle), the rest are answered from those; lists are balanced by construction, and a
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from pointmill.workspace import Workspace
 
 
+HOT_PLACES = 1000
+
+
 @dataclass(frozen=True)
 class Config:
     k: int = 3
@@ -171,19 +175,24 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
 
 def _by_list(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """(list, columns) of each list of a partition that is sorted by list; a list may span batches."""
-    rest: pa.Table | None = None
+    held: list[pa.Table] = []
+    at = None
     for b in batches:
+        if not b.num_rows:
+            continue
         t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
         lists = t.column("list").to_numpy()
-        if not len(lists) or lists[0] == lists[-1]:
-            rest = t
-            continue
-        cut = int(np.searchsorted(lists, lists[-1]))
-        rest = t.slice(cut)
-        yield from _groups(t.slice(0, cut), cols)
-    if rest is not None and rest.num_rows:
-        yield from _groups(rest, cols)
+        if held and lists[0] != at:
+            yield from _groups(pa.concat_tables(held), cols)
+            held = []
+        if lists[0] != lists[-1]:  # all but the last list are complete
+            cut = int(np.searchsorted(lists, lists[-1]))
+            yield from _groups(pa.concat_tables([*held, t.slice(0, cut)]), cols)
+            held, t = [], t.slice(cut)
+        held.append(t)
+        at = lists[-1]
+    if held:
+        yield from _groups(pa.concat_tables(held), cols)
 
 
 def _groups(t: pa.Table, cols: list[str]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -250,18 +259,20 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
 
     posted, _ = ws.keep(indexed.mapInArrow(assign, assigned_schema))
     homes = posted.where("home")
-    found_boxes = homes.groupBy("list").agg(*[f(c).alias(f"{o}{c}") for c in comp for f, o in ((F.min, "lo"), (F.max, "hi"))]).toArrow()
+    found_boxes = homes.groupBy("list").agg(*[f(c).alias(f"{o}{c}") for c in comp for f, o in ((F.min, "lo"), (F.max, "hi"))], F.count(F.lit(1)).alias("n")).toArrow()
     box_lists = found_boxes.column("list").to_numpy()
     lo, hi = (np.full((len(index.at), dim), s) for s in (np.inf, -np.inf))
     for i, c in enumerate(comp):
         lo[box_lists, i] = found_boxes.column(f"lo{c}").to_numpy()
         hi[box_lists, i] = found_boxes.column(f"hi{c}").to_numpy()
-    boxes = spark.sparkContext.broadcast((lo, hi))
+    held_rows = np.zeros(len(index.at), dtype=np.int64)
+    held_rows[box_lists] = found_boxes.column("n").to_numpy()
+    boxes = spark.sparkContext.broadcast((lo, hi, held_rows))
 
-    first_schema = "id bigint, neighbors array<bigint>, squared array<double>, todo array<int>, " + ", ".join(f"{c} double" for c in comp)
+    first_schema = "id bigint, neighbors array<bigint>, squared array<double>, todo array<int>, reach double, " + ", ".join(f"{c} double" for c in comp)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx, (blo, bhi) = shared.value, boxes.value
+        idx, (blo, bhi, rows_of) = shared.value, boxes.value
         held: list[tuple] = []
         rows_held = 0
         for at, g in _by_list(batches, names[1:]):
@@ -272,7 +283,11 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
             if not len(q):
                 continue
             near, dist = search(q, q_ids, x, ids, cfg.k, cfg.block_rows)
-            held.append((q_ids, near, dist, *_uncovered(idx, blo, bhi, at, q, dist[:, -1], cfg.ratio), q))
+            reach = dist[:, -1].copy()
+            few = np.flatnonzero(np.isinf(reach))
+            if len(few):
+                reach[few] = _bound(blo, bhi, rows_of, at, q[few], cfg.k)
+            held.append((q_ids, near, dist, *_uncovered(idx, blo, bhi, at, q, reach, cfg.ratio), reach, q))
             rows_held += len(q)
             if rows_held >= 20_000:
                 yield _first_batch(held, comp, with_distance)
@@ -284,9 +299,7 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
     done = answered.select("id", "neighbors", "squared")
     if seen["more"]:
         open_q = answered.where(F.size("todo") > 0)
-        # A list with fewer than k other vectors bounds nothing.
-        reach = F.when(F.size("squared") >= cfg.k, F.element_at("squared", cfg.k)).otherwise(F.lit(float("inf")))
-        asks = open_q.select(F.explode("todo").alias("list"), F.lit(True).alias("ask"), "id", reach.alias("reach"), *comp)
+        asks = open_q.select(F.explode("todo").alias("list"), F.lit(True).alias("ask"), "id", "reach", *comp)
         full = asks.unionByName(homes.select("list", F.lit(False).alias("ask"), "id", F.lit(0.0).alias("reach"), *comp))
 
         def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +315,7 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
                 yield pa.RecordBatch.from_arrays([pa.array(g["id"][ask][r]), pa.array(near[r, c]), pa.array(dist[r, c])], names=["id", "near", "sq"])
 
         extra = full.repartition("list").sortWithinPartitions("list").mapInArrow(second, "id bigint, near bigint, sq double")
-        # Cut to k before the union, which compares all with all: a vector without a bound has asked every list.
+        # Cut to k before the union, which compares all with all.
         more = extra.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col("sq"), F.col("near")))), 1, cfg.k).alias("more"))
         both = done.join(more, "id", "left")
         own = F.arrays_zip(F.col("squared").alias("sq"), F.col("neighbors").alias("near"))
@@ -310,13 +323,38 @@ def nearest_neighbors(spark: SparkSession, vectors: DataFrame, id_col: str, dims
         same = F.col("more").isNull()
         at = both.select("id", "neighbors", "squared", F.when(~same, merged).alias("m"))
         done = at.select("id", F.coalesce("m.near", "neighbors").alias("neighbors"), F.coalesce("m.sq", "squared").alias("squared"))
-    crowded = points.groupBy(*comp).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cfg.k + 1).drop("_n")
-    lead = indexed.join(crowded, comp, "left_semi").groupBy(*comp).agg(F.array_sort(F.collect_list("id")).alias("_top"))
-    surplus = points.join(lead, comp).where(~F.array_contains("_top", F.col("id")))
+    # Places with more vectors than were indexed.  Those with over a ``1 / HOT_PLACES`` share of the rows, at most that many, are
+    # broadcast, so that no task of the join with the others meets a hot place.
+    crowded = points.groupBy(*comp).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cfg.k + 1)
+    lead = indexed.join(crowded, comp).groupBy(*comp).agg(F.array_sort(F.collect_list("id")).alias("_top"), F.first("_n").alias("_n"))
+    lead, seen = ws.keep(lead, hot=F.count_if(F.col("_n") > n / HOT_PLACES), n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return done
+    hot, cold = F.broadcast(lead.where(F.col("_n") > n / HOT_PLACES)), lead.where(F.col("_n") <= n / HOT_PLACES)
+    surplus = points.join(hot, comp, "left_anti").join(cold, comp).unionByName(points.join(hot, comp)) if seen["hot"] else points.join(cold, comp)
+    surplus = surplus.where(~F.array_contains("_top", F.col("id")))
     zeros = F.transform(F.slice("_top", 1, cfg.k), lambda _: F.lit(0.0))
     return done.unionByName(surplus.select("id", F.slice("_top", 1, cfg.k).alias("neighbors"), zeros.alias("squared")))
 
 
+def _bound(lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, at: int, q: np.ndarray, k: int) -> np.ndarray:
+    """Squared distance within which each q surely has k others: of the boxes by their farthest corner, the first that hold k together."""
+    out = np.full(len(q), np.inf)
+    used = np.flatnonzero(rows)
+    others = rows[used] - (used == at)
+    for start in range(0, len(q), 256):
+        part = q[start : start + 256]
+        far = np.zeros((len(part), len(used)))
+        for i in range(q.shape[1]):
+            d = np.maximum(np.abs(part[:, i : i + 1] - lo[used, i]), np.abs(part[:, i : i + 1] - hi[used, i]))
+            far += d * d
+        order = np.argsort(far, axis=1, kind="stable")
+        enough = np.cumsum(others[order], axis=1) >= k
+        some = enough.any(1)
+        out[start : start + 256][some] = np.take_along_axis(far, order, 1)[some, enough[some].argmax(1)] * (1 + 1e-9)
+    return out
+
+
 def _uncovered(idx: Centroids, lo: np.ndarray, hi: np.ndarray, at: int, q: np.ndarray, sq: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """(counts per query, list numbers): lists that may hold a nearer vector than the k-th found.
 
@@ -345,15 +383,15 @@ def _uncovered(idx: Centroids, lo: np.ndarray, hi: np.ndarray, at: int, q: np.nd
 
 def _first_batch(held: list[tuple], comp: list[str], with_distance: bool) -> pa.RecordBatch:
     """Answers; coordinates (and distances, unless asked for) only where the second round needs them."""
-    ids, near, dist, counts, lists, q = (np.concatenate(x) for x in zip(*held))
+    ids, near, dist, counts, lists, reach, q = (np.concatenate(x) for x in zip(*held))
     ok = near >= 0
     ends = np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)
     far = ok & (with_distance | (counts > 0))[:, None]
     far_ends = np.concatenate([[0], np.cumsum(far.sum(1))]).astype(np.int32)
     todo = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(lists))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(near[ok])), pa.ListArray.from_arrays(pa.array(far_ends), pa.array(dist[far])), todo, *[pa.array(q[:, i], mask=counts == 0) for i in range(len(comp))]],
-        names=["id", "neighbors", "squared", "todo", *comp],
+        [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(near[ok])), pa.ListArray.from_arrays(pa.array(far_ends), pa.array(dist[far])), todo, *[pa.array(x, mask=counts == 0) for x in (reach, *q.T)]],
+        names=["id", "neighbors", "squared", "todo", "reach", *comp],
     )
 
 
