@@ -1,16 +1,18 @@
 """Grouping points into clusters of alike points: grid density clustering in SQL.
 
 1. Quantise position, normal and curvature so finely that all points of one cell are alike.
-2. Count the cells; a cell is named by its smallest point id.
-3. Join adjacent cells: points are put into coarse blocks (with a one-sided margin of one radius), a
-   block's points are compared, and each pair of cells that holds one alike pair becomes one link.
-4. Propagate minimum labels over the cell links to convergence (``components.group_links``).
+2. Count the cells; a cell is named by its smallest point id, whose features stand for it.  Cells of fewer than
+   ``min_cell`` points are not dense and drop out.
+3. Join dense cells that are near enough on the lattice to hold alike points: cells share a block of the lattice (with a margin
+   of the two cells that a radius reaches); a crowded block is divided further by curvature, position and normal.  A pair
+   whose named points are alike is a link.  If they are not and a cell holds more points, the pair is open.
+4. Propagate minimum labels over the links to convergence (``components.group_links``).  Open pairs that ended in
+   different groups are settled on their points, by ever finer cells of the two, and their links are added.
 5. Sum the cells' counts per cluster; the members of a cluster's densest cell are its most typical ones.
 
 Two points are alike if their distance, the angle between their normals and the difference of their curvatures are
-all within their limits.  The result is exact: quantisation only saves comparisons.  A crowd at one spot is one cell,
-so it links to its neighbours once; pairs leave the join only as distinct cell pairs, after map-side
-aggregation.  A hot block's join is left to AQE's skew join.
+all within their limits.  With ``min_cell`` 1 the result is exact: quantisation only saves comparisons.  Points are
+compared one by one only in open pairs between different groups, so a crowd costs what its cells cost.
 """
 
 from __future__ import annotations
@@ -27,13 +29,28 @@ from pointmill.workspace import Workspace
 
 @dataclass(frozen=True)
 class Likeness:
+    """Limits of likeness, the points a cell needs to count as dense, and the size of a cluster to be reported."""
+
     distance: float = 0.5
     angle: float = 0.52
     curvature: float = 0.02
     min_points: int = 5
+    min_cell: int = 1
+
+    def __post_init__(self) -> None:
+        if min(self.distance, self.angle, self.curvature) <= 0:
+            raise ValueError("the limits of likeness must be positive")
+
+    def widths(self) -> list[float]:
+        """Widths of a cell along the seven features: two points of a cell are within every limit."""
+        # Unit normals whose difference is at most the chord of the angle; 0.98 leaves room for normals of length 1 +- 0.0005.
+        turn = 2 * math.sin(min(self.angle, math.pi) / 2) / math.sqrt(3) * 0.98
+        return [self.distance / math.sqrt(3) * 0.998] * 3 + [turn] * 3 + [self.curvature * 0.998]
 
 
 FEATURES = ["x", "y", "z", "nx", "ny", "nz", "curvature"]
+#: Cells per side of a block, cells that the margin reaches, and how many cells of a block are compared pair by pair.
+BLOCK, MARGIN, CROWD = 10, 2, 3000
 
 
 def usable_points(features: DataFrame) -> DataFrame:
@@ -41,23 +58,25 @@ def usable_points(features: DataFrame) -> DataFrame:
     ok = F.col("point_id").isNotNull()
     for c in FEATURES:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf")))
-    rows = features.where(ok).select(F.col("point_id").alias("id"), *FEATURES)
+    rows = features.where(ok).select(F.col("point_id").alias("id"), *[(F.col(c) + F.lit(0.0)).alias(c) for c in FEATURES])
     return rows.groupBy("id").agg(F.min(F.struct(*FEATURES)).alias("p")).select("id", "p.*")
 
 
-def quantised(points: DataFrame, like: Likeness) -> DataFrame:
-    """Adds the cell columns q0..q5: any two points that agree in all of them are alike."""
-    edge = like.distance / math.sqrt(3) * 0.998
-    # Unit normals whose difference is at most the chord of the angle; 0.98 leaves room for normals of length 1 +- 0.0005.
-    turn = 2 * math.sin(min(like.angle, math.pi) / 2) / math.sqrt(3) * 0.98
-    norm = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")
-    plain = (F.abs(norm - 1) < 1e-3) & (F.greatest(*[F.abs(c) for c in "xyz"]) < 1e12) & (F.abs("curvature") < 1e12)
-    step = [F.floor(F.col(c) / F.lit(turn)) + 64 for c in ("nx", "ny", "nz")]
-    cols = [F.floor(F.col(c) / F.lit(edge)) for c in "xyz"]
-    cols.append(F.when(plain, step[0] * 16384 + step[1] * 128 + step[2]).otherwise(F.lit(-1)))
-    cols.append(F.floor(F.col("curvature") / F.lit(like.curvature * 0.998)))
-    cols.append(F.when(plain, F.lit(-1)).otherwise(F.col("id")))  # anything else is a cell of its own
-    return points.withColumns({f"q{i}": c for i, c in enumerate(cols)})
+def plain(like: Likeness, prefix: str = "") -> Column:
+    """Whether the features are of the ordinary kind, so that cell numbers are sharp; anything else is a cell of its own."""
+    nx, ny, nz = (F.col(prefix + c) for c in FEATURES[3:6])
+    sharp = [F.abs(F.col(prefix + c)) < w * 1e9 for c, w in zip(FEATURES, like.widths()) if c[0] != "n"]
+    return (F.abs(nx * nx + ny * ny + nz * nz - 1) < 1e-3) & sharp[0] & sharp[1] & sharp[2] & sharp[3] & F.lit(min(like.widths()[3:]) > 1e-7)
+
+
+def lattice(like: Likeness, scale: int = 1, prefix: str = "") -> list[Column]:
+    """The seven cell numbers of a point."""
+    return [F.floor(F.col(prefix + c) * F.lit(scale / w)) for c, w in zip(FEATURES, like.widths())]
+
+
+def cell_keys(like: Likeness, name: str = "id") -> dict[str, Column]:
+    """Columns that are equal exactly for points of one cell."""
+    return {f"q{i}": q for i, q in enumerate(lattice(like))} | {"q7": F.when(plain(like), F.lit(-1)).otherwise(F.col(name))}
 
 
 def alike(a: str, b: str, like: Likeness) -> Column:
@@ -71,32 +90,139 @@ def alike(a: str, b: str, like: Likeness) -> Column:
     return near & (F.abs(d("curvature")) <= like.curvature) & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= like.angle)
 
 
+def may_be_alike(a: str, b: str, like: Likeness, scale: int = 1) -> Column:
+    """Whether the cells of two sides are near enough on the lattice to hold alike points (never false if they do)."""
+    gaps = [F.greatest(F.lit(0.0), F.abs(p.cast("double") - q.cast("double")) - 1) * F.lit(w / scale) for p, q, w in zip(lattice(like, scale, f"{a}."), lattice(like, scale, f"{b}."), like.widths())]
+    slack = 1 + 1e-6
+    chord = 2 * math.sin(min(like.angle, math.pi) / 2) + 2e-3  # normals may be off unit length by 0.0005
+    far = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+    turn = gaps[3] * gaps[3] + gaps[4] * gaps[4] + gaps[5] * gaps[5]
+    near = (far <= like.distance**2 * slack) & (gaps[6] <= like.curvature * slack) & (turn <= chord * chord)
+    return near | ~plain(like, f"{a}.") | ~plain(like, f"{b}.")
+
+
+def _in_blocks(cells: DataFrame, numbers: dict[str, Column], side: int, margin: int) -> DataFrame:
+    """Rows once for each block: columns k<name> for each lattice number; a cell also enters the next block its margin reaches."""
+    out = cells
+    for name, q in numbers.items():
+        here, ahead = F.floor(q / F.lit(side)), F.floor((q.cast("double") + F.lit(margin)) / F.lit(side))
+        out = out.withColumn(f"k{name}", F.explode(F.when(ahead != here, F.array(here, ahead)).otherwise(F.array(here))))
+    return out
+
+
+def _met_here(numbers: dict[str, tuple[Column, Column]], side: int) -> Column:
+    """A pair that meets in several blocks counts in the one that is home to its further cell on every axis."""
+    ok = F.lit(True)
+    for name, (p, q) in numbers.items():
+        ok = ok & (F.col(f"a.k{name}") == F.col(f"b.k{name}")) & (F.col(f"a.k{name}") == F.floor(F.greatest(p, q) / F.lit(side)))
+    return ok
+
+
+def near_cells(ws: Workspace, cells: DataFrame, like: Likeness) -> DataFrame:
+    """(u, v, sure): pairs of cells, u < v, whose named points are alike (sure), or that may hold alike points and one has more than one."""
+    plan = {"x": (0, BLOCK), "y": (1, BLOCK), "z": (2, BLOCK)}
+    # Inside a crowded block: normals and curvature by four cells, positions by five of the block's ten.
+    fine = {"i": (0, 5), "j": (1, 5), "k": (2, 5), "l": (3, 4), "m": (4, 4), "o": (5, 4), "c": (6, 4)}
+    at = _in_blocks(cells, {n: lattice(like)[i] for n, (i, _) in plan.items()}, BLOCK, MARGIN)
+    at = at.select("kx", "ky", "kz", *FEATURES, "cell", "n")
+    crowds, seen = ws.keep(at.groupBy("kx", "ky", "kz").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("kx", "ky", "kz"), n=F.count(F.lit(1)))
+
+    def pairs(table: DataFrame, keys: list[tuple[dict, int]]) -> DataFrame:
+        a, b = table.alias("a"), table.alias("b")
+        la, lb = lattice(like, 1, "a."), lattice(like, 1, "b.")
+        same = F.col("a.cell") < F.col("b.cell")
+        for names, side in keys:
+            same = same & _met_here({n: (la[i], lb[i]) for n, i in names.items()}, side)
+        sure = alike("a", "b", like)
+        return a.join(b, same & (sure | (((F.col("a.n") > 1) | (F.col("b.n") > 1)) & may_be_alike("a", "b", like)))).select(F.col("a.cell").alias("u"), F.col("b.cell").alias("v"), sure.alias("sure"))
+
+    wide = ({n: i for n, (i, _) in plan.items()}, BLOCK)
+    if not seen["n"]:
+        return pairs(at, [wide])
+    key = ["kx", "ky", "kz"]
+    few, dense = at.join(crowds, key, "left_anti"), at.join(crowds, key, "left_semi")
+    keys = [wide]
+    for side in sorted({s for _, s in fine.values()}):
+        names = {n: i for n, (i, s) in fine.items() if s == side}
+        dense = _in_blocks(dense, {n: lattice(like)[i] for n, i in names.items()}, side, MARGIN)
+        keys.append((names, side))
+    return pairs(few, [wide]).unionByName(pairs(dense, keys))
+
+
+def settle(ws: Workspace, open_pairs: DataFrame, points: DataFrame, cells: DataFrame, like: Likeness) -> DataFrame:
+    """The (u, v) of ``open_pairs`` that hold two alike points.
+
+    Both cells' points are put into finer cells round by round; a pair is settled once two named points are alike or no finer
+    cells are near any more, at last by the points themselves.
+    """
+    involved = open_pairs.select(F.explode(F.array("u", "v")).alias("cell")).distinct()
+    held = cells.join(involved, "cell", "left_semi").withColumns(cell_keys(like, "cell")).select("cell", *[f"q{i}" for i in range(8)])
+    members, _ = ws.keep(points.withColumns(cell_keys(like)).join(held, [f"q{i}" for i in range(8)]).select("cell", *FEATURES).distinct())
+    todo, found, scale = open_pairs.select("u", "v"), [], 1
+    while True:
+        scale *= 4
+        last = scale > 4**8
+
+        def side(end: str) -> DataFrame:
+            other = cells.select(F.col("cell").alias("other"), *[F.col(c).alias(f"o_{c}") for c in FEATURES])
+            rows = todo.join(members.withColumnRenamed("cell", end), end).join(other, F.col("other") == F.col("v" if end == "u" else "u"))
+            rows = rows.select("u", "v", F.struct(*FEATURES).alias("p"), F.struct(*[F.col(f"o_{c}").alias(c) for c in FEATURES]).alias("o"))
+            rows = rows.where(_reaches("p", "o", like))
+            finer = [F.col("p")] if last else lattice(like, scale, "p.")
+            by = rows.groupBy("u", "v", *[q.alias(f"f{i}") for i, q in enumerate(finer)]).agg(F.min("p").alias("s"), (F.min("p") != F.max("p")).alias("more"))
+            return by.select("u", "v", "s", "more")
+
+        a, b = side("u").select("u", "v", F.col("s").alias("a"), F.col("more").alias("am")), side("v").select("u", "v", F.col("s").alias("b"), F.col("more").alias("bm"))
+        both = a.join(b, ["u", "v"])
+        sure = alike("a", "b", like)
+        left = (F.col("am") | F.col("bm")) & may_be_alike("a", "b", like, scale)
+        judged, seen = ws.keep(both.groupBy("u", "v").agg(F.bool_or(sure).alias("sure"), F.bool_or(left).alias("left")), left=F.count_if(~F.col("sure") & F.col("left")))
+        found.append(judged.where("sure").select("u", "v"))
+        if not seen["left"]:
+            break
+        todo = judged.where("not sure and left").select("u", "v")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _reaches(p: str, o: str, like: Likeness) -> Column:
+    """Whether a point may be alike to some point of the lattice cell of another."""
+    far, turn = F.lit(0.0), F.lit(0.0)
+    gaps = []
+    for c, w, q in zip(FEATURES, like.widths(), lattice(like, 1, f"{o}.")):
+        low = q.cast("double") * F.lit(w)
+        gaps.append(F.greatest(F.lit(0.0), low - F.col(f"{p}.{c}"), F.col(f"{p}.{c}") - low - F.lit(w)))
+    for g in gaps[:3]:
+        far = far + g * g
+    for g in gaps[3:6]:
+        turn = turn + g * g
+    chord = 2 * math.sin(min(like.angle, math.pi) / 2) + 2e-3
+    near = (far <= like.distance**2 * (1 + 1e-6)) & (gaps[6] <= like.curvature * (1 + 1e-6)) & (turn <= chord * chord)
+    return near | ~plain(like, f"{o}.") | ~plain(like, f"{p}.")
+
+
 def clustered_cells(spark: SparkSession, features: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
-    """(points with their cell, cells with their count and group)."""
+    """(points, dense cells with the features of their named point, their count and group)."""
     ws = Workspace(spark, "clusters")
-    keys = [f"q{i}" for i in range(6)]
-    points = quantised(usable_points(features), like)
-    named = points.groupBy(*keys).agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("n"))
-    points, _ = ws.keep(points.join(named, keys).select("id", *FEATURES, "cell", "n"))
-    # Block sides of six radii: a point also enters the next block of an axis if the margin reaches into it.
-    side = 6 * like.distance
-    at = points
-    for c in "xyz":
-        here, ahead = F.floor(F.col(c) / F.lit(side)), F.floor((F.col(c) + F.lit(like.distance * (1 + 1e-9))) / F.lit(side))
-        at = at.withColumn(f"k{c}", F.explode(F.when(ahead != here, F.array(here, ahead)).otherwise(F.array(here))))
-    # Named once and used twice, so that both sides of the join share one exchange.
-    at = at.select(*[f"k{c}" for c in "xyz"], *FEATURES, "cell")
-    a, b = at.alias("a"), at.alias("b")
-    same = F.col("a.cell") < F.col("b.cell")
-    for c in "xyz":
-        same = same & (F.col(f"a.k{c}") == F.col(f"b.k{c}"))
-    # A pair that meets in several blocks counts in the one that is home to its further point on every axis.
-    for c in "xyz":
-        same = same & (F.col(f"a.k{c}") == F.floor(F.greatest(f"a.{c}", f"b.{c}") / F.lit(side)))
-    links = a.join(b, alike("a", "b", like) & same).select(F.col("a.cell").alias("u"), F.col("b.cell").alias("v"))
-    groups = group_links(spark, links).toDF("cell", "grp")
-    cells = points.where("id = cell").select("cell", "n").join(groups, "cell", "left").select("cell", "n", F.coalesce("grp", "cell").alias("group_id"))
-    return points, ws.keep(cells)[0]
+    points, _ = ws.keep(usable_points(features))
+    keys = cell_keys(like)
+    counted = points.withColumns(keys).groupBy(*keys).agg(F.min(F.struct("id", *FEATURES)).alias("p"), F.count(F.lit(1)).alias("n"))
+    cells, _ = ws.keep(counted.where(F.col("n") >= like.min_cell).select(F.col("p.id").alias("cell"), *[f"p.{c}" for c in FEATURES], "n"))
+    pairs, seen = ws.keep(near_cells(ws, cells, like).groupBy("u", "v").agg(F.bool_or("sure").alias("sure")), open=F.count_if(~F.col("sure")))
+    groups = group_links(spark, pairs.where("sure").select("u", "v"), distinct=True).toDF("cell", "grp")
+    if seen["open"]:
+        groups, _ = ws.keep(groups)
+        ends = pairs.where("not sure").join(groups.toDF("u", "gu"), "u", "left").join(groups.toDF("v", "gv"), "v", "left")
+        ends = ends.select("u", "v", F.coalesce("gu", "u").alias("gu"), F.coalesce("gv", "v").alias("gv")).where("gu <> gv")
+        ends, seen = ws.keep(ends, n=F.count(F.lit(1)))
+        if seen["n"]:
+            more = settle(ws, ends, points, cells, like).join(ends, ["u", "v"]).select(F.least("gu", "gv").alias("u"), F.greatest("gu", "gv").alias("v"))
+            merged = group_links(spark, more).toDF("grp", "into")
+            named = cells.join(groups, "cell", "left").select("cell", F.coalesce("grp", "cell").alias("grp"))
+            groups = named.join(merged, "grp", "left").select("cell", F.coalesce("into", "grp").alias("grp"))
+    return points, ws.keep(cells.join(groups, "cell", "left").select("cell", *FEATURES, "n", F.coalesce("grp", "cell").alias("group_id")))[0]
 
 
 def members(spark: SparkSession, features: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -105,19 +231,28 @@ def members(spark: SparkSession, features: DataFrame, like: Likeness = Likeness(
     Points with a null or non-finite feature are left out; an empty table gives an empty result.
     """
     points, cells = clustered_cells(spark, features, like)
-    big = cells.groupBy("group_id").agg(F.sum("n").alias("size")).where(F.col("size") >= like.min_points)
-    kept = cells.join(big, "group_id", "left_semi").select("cell", "group_id")
-    return points.select("id", "cell").join(kept, "cell").select(F.col("id").alias("point_id"), "group_id")
+    big = cells.groupBy("group_id").agg(F.sum("n").alias("size")).where(F.col("size") >= like.min_points).select("group_id")
+    kept = cells.join(big, "group_id", "left_semi")
+    # A cell of one point is that point; the others are found by their cell's numbers.
+    alone = kept.where("n = 1").select(F.col("cell").alias("point_id"), "group_id")
+    return alone.unionByName(_located(points, kept.where("n > 1"), like).select(F.col("id").alias("point_id"), "group_id"))
+
+
+def _located(points: DataFrame, cells: DataFrame, like: Likeness) -> DataFrame:
+    """(id, cell, group_id) of the points of the given cells."""
+    keys = [f"q{i}" for i in range(8)]
+    at = cells.withColumns(cell_keys(like, "cell")).select(*keys, "cell", "group_id")
+    return points.withColumns(cell_keys(like)).select(*keys, "id").join(at, keys).select("id", "cell", "group_id")
 
 
 def describe(spark: SparkSession, features: DataFrame, like: Likeness = Likeness(), typical: int = 3) -> DataFrame:
     """(group_id, size, cells, densest, typical): clusters with their size, number of cells, the count of the
     densest cell (the one with the smallest name of equals) and the smallest ``typical`` point ids in it."""
     points, cells = clustered_cells(spark, features, like)
-    top = F.max_by("cell", F.struct(F.col("n"), -F.col("cell")))
-    big = cells.groupBy("group_id").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells"), F.max("n").alias("densest"), top.alias("cell"))
+    top = F.max_by(F.struct("cell", *FEATURES), F.struct(F.col("n"), -F.col("cell")))
+    big = cells.groupBy("group_id").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells"), F.max("n").alias("densest"), top.alias("t"))
     big = big.where(F.col("size") >= like.min_points)
     first = Window.partitionBy("cell").orderBy("id")
-    best = points.select("id", "cell").join(big.select("cell"), "cell", "left_semi").withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= typical)
-    best = best.groupBy("cell").agg(F.array_sort(F.collect_list("id")).alias("typical"))
-    return big.join(best, "cell").select("group_id", "size", "cells", "densest", "typical")
+    best = _located(points, big.select("t.*", "group_id"), like).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= typical)
+    best = best.groupBy("group_id").agg(F.array_sort(F.collect_list("id")).alias("typical"))
+    return big.join(best, "group_id").select("group_id", "size", "cells", "densest", "typical")

@@ -94,10 +94,55 @@ def test_nearest_vectors_of_lists_with_few_rows(spark, far):
     assert all(len(r.squared) == 3 for r in found)
 
 
+@pytest.mark.parametrize("far", [1, 2, 3])
+def test_far_vectors_among_many_with_production_settings(spark, far):
+    """2,000 normal points and a few at 1e6, at different places or in one direction, by the default configuration; p4_found's pairs too."""
+    rng = np.random.default_rng(far)
+    x = np.concatenate([rng.normal(0, 1, (2000, 3)), np.array([(1e6, 0.0, 0.0), (0.0, -1e6, 0.0), (1e6, 0.0, 1e3)])[:far]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], PT)
+    found = neighbors.nearest_neighbors(spark, df, "point_id", ["x", "y", "z"], with_distance=False)
+    d = neighbors.sq_dist(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert {r.id: list(r.neighbors) for r in found.collect()} == {i: w.tolist() for i, w in enumerate(want)}
+    assert {tuple(r) for r in neighbors.neighbor_pairs(found).collect()} == {(min(i, int(j)), max(i, int(j))) for i, w in enumerate(want) for j in w}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_fewer_vectors_than_k(spark, n):
+    df = spark.createDataFrame([(i, 1e5 * i, 0.0, 0.0) for i in range(n)], PT)
+    found = neighbors.nearest_neighbors(spark, df, "point_id", ["x", "y", "z"], neighbors.Config(k=5, list_rows=1)).collect()
+    assert {r.id: list(r.neighbors) for r in found} == {i: sorted((j for j in range(n) if j != i), key=lambda j: (abs(i - j), j)) for i in range(n)}
+
+
+def test_the_bound_keeps_most_lists_out():
+    """A far vector asks the lists near the cloud's near side, not all."""
+    rng = np.random.default_rng(1)
+    lo = rng.uniform(0, 100, (500, 3))
+    hi, rows = lo + 5, np.full(500, 10)
+    q = np.array([[1e6, 50.0, 50.0]])
+    reach = neighbors._bound(lo, hi, rows, 7, q, 3)
+    gap = (np.maximum(0, np.maximum(lo - q, q - hi)) ** 2).sum(1)
+    assert np.isfinite(reach[0]) and 0 < (gap <= reach[0]).sum() < 100
+
+
 def test_no_vectors(spark):
     assert neighbors.nearest_neighbors(spark, spark.createDataFrame([], PT), "point_id", ["x", "y", "z"]).count() == 0
 
 
+FEATURE_ROW = PT + ", nx double, ny double, nz double, curvature double"
+
+
+def brute_clusters(pos, nor, cur, like):
+    angle = np.arccos(np.clip(nor[:, None, 0] * nor[None, :, 0] + (nor[:, None, 1] * nor[None, :, 1] + nor[:, None, 2] * nor[None, :, 2]), -1, 1))
+    close = (np.linalg.norm(pos[:, None] - pos[None], axis=2) <= like.distance) & (angle <= like.angle) & (np.abs(cur[:, None] - cur[None]) <= like.curvature)
+    g = groups([(int(a), int(b)) for a, b in zip(*np.nonzero(close)) if a < b])
+    sizes = {}
+    for v in g.values():
+        sizes[v] = sizes.get(v, 0) + 1
+    return {v: r for v, r in g.items() if sizes[r] >= like.min_points}, sizes
+
+
 def test_clusters_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     n = 500
@@ -107,17 +152,58 @@ def test_clusters_equal_brute_force(spark):
     cur = rng.uniform(0, 0.06, n)
     pos[:80], nor[:80], cur[:80] = (3.0, 3.0, 0.1), (0.0, 0.0, 1.0), 0.01  # a crowd at one spot
     rows = [(i, *map(float, pos[i]), *map(float, nor[i]), float(cur[i])) for i in range(n)] + [(900, None, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0), (901, 1.0, 1.0, 1.0, 0.0, 0.0, 1.0, math.nan), (902, 1e300, 0.0, 0.0, 5.0, 0.0, 0.0, 0.0)]
-    df = spark.createDataFrame(rows + rows[:50], PT + ", nx double, ny double, nz double, curvature double").withColumn("cell", F.lit(1))
-    close = (np.linalg.norm(pos[:, None] - pos[None], axis=2) <= 0.5) & (np.arccos(np.clip(nor @ nor.T, -1, 1)) <= 0.52) & (np.abs(cur[:, None] - cur[None]) <= 0.02)
-    g = groups([(int(a), int(b)) for a, b in zip(*np.nonzero(close)) if a < b])
-    sizes = {}
-    for v in g.values():
-        sizes[v] = sizes.get(v, 0) + 1
-    want = {v: r for v, r in g.items() if sizes[r] >= 5}
+    df = spark.createDataFrame(rows + rows[:50], FEATURE_ROW).withColumn("cell", F.lit(1))
+    want, sizes = brute_clusters(pos, nor, cur, clusters.Likeness())
     assert {r.point_id: r.group_id for r in clusters.members(spark, df).collect()} == want
     top = {r.group_id: r for r in clusters.describe(spark, df).collect()}
     assert {k: r["size"] for k, r in top.items()} == {k: n for k, n in sizes.items() if n >= 5}
     assert top[want[0]].densest >= 80 and list(top[want[0]].typical)[:1] == [0]
+    assert clusters.members(spark, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_of_full_cells(spark, seed, monkeypatch):
+    """Distinct points crowd in few cells; blocks of over 20 cells are divided; pairs of cells whose named points differ are settled on their points."""
+    monkeypatch.setattr(clusters, "CROWD", (20, 20, 3000, 3000)[seed])
+    rng = np.random.default_rng(seed)
+    like = clusters.Likeness(distance=0.5, angle=0.5, curvature=0.02) if seed < 3 else clusters.Likeness(distance=0.3, angle=0.01, curvature=0.005)
+    n = 400
+    centre = rng.integers(0, 14, n)
+    spots = rng.uniform(0, 2.5, (14, 3)), rng.normal(0, 1, (14, 3)), rng.uniform(0, 0.08, 14)
+    pos = spots[0][centre] + rng.normal(0, 0.09, (n, 3))
+    nor = spots[1][centre] / np.linalg.norm(spots[1][centre], axis=1)[:, None] + rng.normal(0, 0.12 if seed < 3 else 0.003, (n, 3))
+    nor /= np.linalg.norm(nor, axis=1)[:, None]
+    cur = np.abs(spots[2][centre] + rng.normal(0, 0.006, n))
+    rows = [(i, *map(float, pos[i]), *map(float, nor[i]), float(cur[i])) for i in range(n)]
+    want, _ = brute_clusters(pos, nor, cur, like)
+    got = {r.point_id: r.group_id for r in clusters.members(spark, spark.createDataFrame(rows, FEATURE_ROW), like).collect()}
+    assert got == want
+
+
+def test_open_pairs_are_settled_on_their_points(spark):
+    """Two full cells whose named points are apart and of which only one pair of points is alike; and two without such a pair."""
+    up = (0.0, 0.0, 1.0)
+    rows = []
+    for base in (0.0, 100.0):
+        near = 0.499 if base == 0 else 0.51
+        rows += [(len(rows) + i, base + 0.01 * (i % 5) * 0.1, 0.0, 0.001 * i, *up, 0.001) for i in range(20)]
+        rows += [(len(rows) + i, base + 0.004 + near + 0.001 * i, 0.0, 0.019, *up, 0.001) for i in range(20)]
+    pos, nor, cur = np.array([r[1:4] for r in rows]), np.array([r[4:7] for r in rows]), np.array([r[7] for r in rows])
+    want, _ = brute_clusters(pos, nor, cur, clusters.Likeness())
+    assert len(set(want.values())) == 3
+    df = spark.createDataFrame(rows, FEATURE_ROW)
+    assert {r.point_id: r.group_id for r in clusters.members(spark, df).collect()} == want
+
+
+def test_thin_cells_are_no_bridges_where_density_is_asked(spark):
+    up = (0.0, 0.0, 1.0)
+    rows = [(i, 0.001 * i, 0.0, 0.0, *up, 0.001) for i in range(9)] + [(20, 0.45, 0.0, 0.0, *up, 0.001)] + [(30 + i, 0.87 + 0.001 * i, 0.0, 0.0, *up, 0.001) for i in range(9)]
+    df = spark.createDataFrame(rows, FEATURE_ROW)
+    assert len({r.group_id for r in clusters.members(spark, df).collect()}) == 1
+    got = clusters.members(spark, df, clusters.Likeness(min_cell=3)).collect()
+    assert len({r.group_id for r in got}) == 2 and 20 not in {r.point_id for r in got}
+    with pytest.raises(ValueError, match="positive"):
+        clusters.Likeness(angle=0.0)
 
 
 def test_tokens_equal_the_library(spark):
