@@ -79,26 +79,43 @@ def cell_keys(like: Likeness, name: str = "id") -> dict[str, Column]:
     return {f"q{i}": q for i, q in enumerate(lattice(like))} | {"q7": F.when(plain(like), F.lit(-1)).otherwise(F.col(name))}
 
 
-def alike(a: str, b: str, like: Likeness) -> Column:
-    """The exact test on two aliased sides."""
+def _difference(a: str, b: str, c: str) -> Column:
+    return F.col(f"{a}.{c}") - F.col(f"{b}.{c}")
+
 
-    def d(c: str) -> Column:
-        return F.col(f"{a}.{c}") - F.col(f"{b}.{c}")
+def _squared(a: str, b: str) -> Column:
+    x, y, z = (_difference(a, b, c) for c in "xyz")
+    return x * x + y * y + z * z
 
+
+def alike(a: str, b: str, like: Likeness) -> Column:
+    """The exact test on two aliased sides."""
     dot = sum((F.col(f"{a}.{c}") * F.col(f"{b}.{c}") for c in ("ny", "nz")), F.col(f"{a}.nx") * F.col(f"{b}.nx"))
-    near = F.sqrt(d("x") * d("x") + d("y") * d("y") + d("z") * d("z")) <= like.distance
-    return near & (F.abs(d("curvature")) <= like.curvature) & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= like.angle)
+    near = F.sqrt(_squared(a, b)) <= like.distance
+    # The cosine is compared first, with room for rounding, to spare most pairs the arc.
+    turned = (dot >= math.cos(min(like.angle, math.pi)) - 1e-9) & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= like.angle)
+    return near & (F.abs(_difference(a, b, "curvature")) <= like.curvature) & turned
+
 
+def may_be_alike(a: str, b: str, like: Likeness, scale: int = 1, numbers: tuple[list[Column], list[Column]] | None = None) -> Column:
+    """Whether the cells of two sides are near enough on the lattice to hold alike points (never false if they do).
 
-def may_be_alike(a: str, b: str, like: Likeness, scale: int = 1) -> Column:
-    """Whether the cells of two sides are near enough on the lattice to hold alike points (never false if they do)."""
-    gaps = [F.greatest(F.lit(0.0), F.abs(p.cast("double") - q.cast("double")) - 1) * F.lit(w / scale) for p, q, w in zip(lattice(like, scale, f"{a}."), lattice(like, scale, f"{b}."), like.widths())]
+    With ``numbers``, the lattice numbers of both sides, these also have the columns _plain.
+    """
+    p, q = numbers or (lattice(like, scale, f"{a}."), lattice(like, scale, f"{b}."))
+    steps = [F.abs(i.cast("double") - j.cast("double")) - 1 for i, j in zip(p, q)]
     slack = 1 + 1e-6
     chord = 2 * math.sin(min(like.angle, math.pi) / 2) + 2e-3  # normals may be off unit length by 0.0005
-    far = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    turn = gaps[3] * gaps[3] + gaps[4] * gaps[4] + gaps[5] * gaps[5]
-    near = (far <= like.distance**2 * slack) & (gaps[6] <= like.curvature * slack) & (turn <= chord * chord)
-    return near | ~plain(like, f"{a}.") | ~plain(like, f"{b}.")
+    gaps = [F.greatest(F.lit(0.0), s) for s in steps]
+    edge, turn, bend = (like.widths()[i] / scale for i in (0, 3, 6))
+    near = steps[6] <= like.curvature / bend * slack
+    for three, limit in ((range(3), (like.distance / edge) ** 2), (range(3, 6), (chord / turn) ** 2)):
+        for i in three:
+            near = near & (steps[i] <= math.sqrt(limit) * slack)
+        x, y, z = (gaps[i] for i in three)
+        near = near & (x * x + y * y + z * z <= limit * slack)
+    ordinary = F.col(f"{a}._plain") & F.col(f"{b}._plain") if numbers else plain(like, f"{a}.") & plain(like, f"{b}.")
+    return near | ~ordinary
 
 
 def _in_blocks(cells: DataFrame, numbers: dict[str, Column], side: int, margin: int) -> DataFrame:
@@ -128,13 +145,21 @@ def near_cells(ws: Workspace, cells: DataFrame, like: Likeness) -> DataFrame:
     crowds, seen = ws.keep(at.groupBy("kx", "ky", "kz").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("kx", "ky", "kz"), n=F.count(F.lit(1)))
 
     def pairs(table: DataFrame, keys: list[tuple[dict, int]]) -> DataFrame:
-        a, b = table.alias("a"), table.alias("b")
-        la, lb = lattice(like, 1, "a."), lattice(like, 1, "b.")
-        same = F.col("a.cell") < F.col("b.cell")
-        for names, side in keys:
-            same = same & _met_here({n: (la[i], lb[i]) for n, i in names.items()}, side)
-        sure = alike("a", "b", like)
-        return a.join(b, same & (sure | (((F.col("a.n") > 1) | (F.col("b.n") > 1)) & may_be_alike("a", "b", like)))).select(F.col("a.cell").alias("u"), F.col("b.cell").alias("v"), sure.alias("sure"))
+        by = [f"k{n}" for names, _ in keys for n in names]
+        # Cells' numbers are computed behind the exchange.  No block is hot: those of many cells are divided.
+        sides = table.repartition(*by).withColumns({f"_q{i}": q.cast("double") for i, q in enumerate(lattice(like))} | {"_plain": plain(like)})
+        numbers = [F.col(f"a._q{i}") for i in range(7)], [F.col(f"b._q{i}") for i in range(7)]
+        here = F.lit(True)
+        for names, width in keys:
+            here = here & _met_here({n: (numbers[0][i], numbers[1][i]) for n, i in names.items()}, width)
+        ends = [F.col("a.cell").alias("u"), F.col("b.cell").alias("v")]
+        a, b = sides.alias("a"), sides.alias("b")
+        # Two joins with short conditions: one of the JVM's compiler's limits is the size of a method.
+        sure = a.join(b, (F.col("a.cell") < F.col("b.cell")) & alike("a", "b", like) & here).select(*ends, F.lit(True).alias("sure"))
+        full = sides.where("n > 1").alias("a")
+        once = (F.col("b.n") == 1) | (F.col("a.cell") < F.col("b.cell"))
+        may = full.join(b, once & (F.col("a.cell") != F.col("b.cell")) & may_be_alike("a", "b", like, numbers=numbers) & here)
+        return sure.unionByName(may.select(F.least("a.cell", "b.cell").alias("u"), F.greatest("a.cell", "b.cell").alias("v"), F.lit(False).alias("sure")))
 
     wide = ({n: i for n, (i, _) in plan.items()}, BLOCK)
     if not seen["n"]:
