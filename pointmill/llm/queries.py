@@ -58,7 +58,7 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     sized = tokens.count_tokens(docs, ["doc_id", "source", "cluster"], "text")
     items = sized.select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"), "source", "cluster")
     packed = packing.pack(spark, items, CAPACITY)
-    return packed.select("container_id", F.col("item").alias("doc_id"), "piece", F.col("start_at").alias("start_token"), F.col("size").alias("n_tokens"))
+    return packed.select("container_id", F.col("item").alias("doc_id"), "piece", F.col("start_at").alias("start_token"), F.col("size").alias("n_tokens"), "relaxed")
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
