@@ -6,7 +6,8 @@
 3. Join dense cells that are near enough on the lattice to hold alike points: cells share a block of the lattice (with a margin
    of the two cells that a radius reaches); a crowded block is divided further by curvature, position and normal.  A pair
    whose named points are alike is a link.  If they are not and a cell holds more points, the pair is open.
-4. Propagate minimum labels over the links to convergence (``components.group_links``).  Open pairs that ended in
+4. Propagate minimum labels over the links to convergence (``operators.components.stars``; links are contracted in the task
+   that finds them, so what leaves it is a star for each group it knows).  Open pairs that ended in
    different groups are settled on their points, by ever finer cells of the two, and their links are added.
 5. Sum the cells' counts per cluster; the members of a cluster's densest cell are its most typical ones.
 
@@ -18,12 +19,15 @@ compared one by one only in open pairs between different groups, so a crowd cost
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointmill.llm.components import group_links
+from pointmill.operators.components import CHUNK_EDGES, forest, stars
 from pointmill.workspace import Workspace
 
 
@@ -41,9 +45,16 @@ class Likeness:
         if min(self.distance, self.angle, self.curvature) <= 0:
             raise ValueError("the limits of likeness must be positive")
 
+    def unit(self) -> float:
+        """How far the squared length of an ordinary normal may be from 1."""
+        return 1e-3 * min(1.0, self.angle**2)
+
+    def chord(self) -> float:
+        """Largest difference of two ordinary normals within the angle."""
+        return math.sqrt((2 * math.sin(min(self.angle, math.pi) / 2)) ** 2 + 2 * self.unit())
+
     def widths(self) -> list[float]:
-        """Widths of a cell along the seven features: two points of a cell are within every limit."""
-        # Unit normals whose difference is at most the chord of the angle; 0.98 leaves room for normals of length 1 +- 0.0005.
+        """Widths of a cell along the seven features: two ordinary points of a cell are within every limit."""
         turn = 2 * math.sin(min(self.angle, math.pi) / 2) / math.sqrt(3) * 0.98
         return [self.distance / math.sqrt(3) * 0.998] * 3 + [turn] * 3 + [self.curvature * 0.998]
 
@@ -63,10 +74,11 @@ def usable_points(features: DataFrame) -> DataFrame:
 
 
 def plain(like: Likeness, prefix: str = "") -> Column:
-    """Whether the features are of the ordinary kind, so that cell numbers are sharp; anything else is a cell of its own."""
+    """Whether the features are of the ordinary kind: normals of length 1 (nearly, the nearer the smaller the angle) and numbers
+    that leave cells sharp.  Anything else is a cell of its own."""
     nx, ny, nz = (F.col(prefix + c) for c in FEATURES[3:6])
     sharp = [F.abs(F.col(prefix + c)) < w * 1e9 for c, w in zip(FEATURES, like.widths()) if c[0] != "n"]
-    return (F.abs(nx * nx + ny * ny + nz * nz - 1) < 1e-3) & sharp[0] & sharp[1] & sharp[2] & sharp[3] & F.lit(min(like.widths()[3:]) > 1e-7)
+    return (F.abs(nx * nx + ny * ny + nz * nz - 1) < like.unit()) & sharp[0] & sharp[1] & sharp[2] & sharp[3] & F.lit(min(like.widths()[3:]) > 1e-7)
 
 
 def lattice(like: Likeness, scale: int = 1, prefix: str = "") -> list[Column]:
@@ -88,34 +100,30 @@ def _squared(a: str, b: str) -> Column:
     return x * x + y * y + z * z
 
 
+def _dot(a: str, b: str) -> Column:
+    x, y, z = (F.col(f"{a}.{c}") * F.col(f"{b}.{c}") for c in ("nx", "ny", "nz"))
+    return x + (y + z)
+
+
 def alike(a: str, b: str, like: Likeness) -> Column:
     """The exact test on two aliased sides."""
-    dot = sum((F.col(f"{a}.{c}") * F.col(f"{b}.{c}") for c in ("ny", "nz")), F.col(f"{a}.nx") * F.col(f"{b}.nx"))
+    dot = _dot(a, b)
     near = F.sqrt(_squared(a, b)) <= like.distance
     # The cosine is compared first, with room for rounding, to spare most pairs the arc.
     turned = (dot >= math.cos(min(like.angle, math.pi)) - 1e-9) & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= like.angle)
     return near & (F.abs(_difference(a, b, "curvature")) <= like.curvature) & turned
 
 
-def may_be_alike(a: str, b: str, like: Likeness, scale: int = 1, numbers: tuple[list[Column], list[Column]] | None = None) -> Column:
-    """Whether the cells of two sides are near enough on the lattice to hold alike points (never false if they do).
-
-    With ``numbers``, the lattice numbers of both sides, these also have the columns _plain.
-    """
-    p, q = numbers or (lattice(like, scale, f"{a}."), lattice(like, scale, f"{b}."))
-    steps = [F.abs(i.cast("double") - j.cast("double")) - 1 for i, j in zip(p, q)]
+def may_be_alike(a: str, b: str, like: Likeness, scale: int) -> Column:
+    """Whether the cells of two sides, ``scale`` times as fine, are near enough on the lattice to hold alike points (never false if they do)."""
+    p, q = lattice(like, scale, f"{a}."), lattice(like, scale, f"{b}.")
+    gaps = [F.greatest(F.lit(0.0), F.abs(i.cast("double") - j.cast("double")) - 1) for i, j in zip(p, q)]
     slack = 1 + 1e-6
-    chord = 2 * math.sin(min(like.angle, math.pi) / 2) + 2e-3  # normals may be off unit length by 0.0005
-    gaps = [F.greatest(F.lit(0.0), s) for s in steps]
     edge, turn, bend = (like.widths()[i] / scale for i in (0, 3, 6))
-    near = steps[6] <= like.curvature / bend * slack
-    for three, limit in ((range(3), (like.distance / edge) ** 2), (range(3, 6), (chord / turn) ** 2)):
-        for i in three:
-            near = near & (steps[i] <= math.sqrt(limit) * slack)
-        x, y, z = (gaps[i] for i in three)
+    near = gaps[6] <= like.curvature / bend * slack
+    for (x, y, z), limit in ((gaps[:3], (like.distance / edge) ** 2), (gaps[3:6], (like.chord() / turn) ** 2)):
         near = near & (x * x + y * y + z * z <= limit * slack)
-    ordinary = F.col(f"{a}._plain") & F.col(f"{b}._plain") if numbers else plain(like, f"{a}.") & plain(like, f"{b}.")
-    return near | ~ordinary
+    return near | ~plain(like, f"{a}.") | ~plain(like, f"{b}.")
 
 
 def _in_blocks(cells: DataFrame, numbers: dict[str, Column], side: int, margin: int) -> DataFrame:
@@ -144,34 +152,67 @@ def near_cells(ws: Workspace, cells: DataFrame, like: Likeness) -> DataFrame:
     at = at.select("kx", "ky", "kz", *FEATURES, "cell", "n")
     crowds, seen = ws.keep(at.groupBy("kx", "ky", "kz").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("kx", "ky", "kz"), n=F.count(F.lit(1)))
 
-    def pairs(table: DataFrame, keys: list[tuple[dict, int]]) -> DataFrame:
+    def pairs(table: DataFrame, keys: list[tuple[dict, int]], odd_only: bool = False) -> DataFrame:
         by = [f"k{n}" for names, _ in keys for n in names]
         # Cells' numbers are computed behind the exchange.  No block is hot: those of many cells are divided.
-        sides = table.repartition(*by).withColumns({f"_q{i}": q.cast("double") for i, q in enumerate(lattice(like))} | {"_plain": plain(like)})
+        sides = table.repartition(*by).withColumns({f"_q{i}": q.cast("double") for i, q in enumerate(lattice(like))} | {"_odd": ~plain(like), "_one": F.col("n") == 1})
         numbers = [F.col(f"a._q{i}") for i in range(7)], [F.col(f"b._q{i}") for i in range(7)]
         here = F.lit(True)
         for names, width in keys:
             here = here & _met_here({n: (numbers[0][i], numbers[1][i]) for n, i in names.items()}, width)
-        ends = [F.col("a.cell").alias("u"), F.col("b.cell").alias("v")]
-        a, b = sides.alias("a"), sides.alias("b")
-        # Two joins with short conditions: one of the JVM's compiler's limits is the size of a method.
-        sure = a.join(b, (F.col("a.cell") < F.col("b.cell")) & alike("a", "b", like) & here).select(*ends, F.lit(True).alias("sure"))
-        full = sides.where("n > 1").alias("a")
-        once = (F.col("b.n") == 1) | (F.col("a.cell") < F.col("b.cell"))
-        may = full.join(b, once & (F.col("a.cell") != F.col("b.cell")) & may_be_alike("a", "b", like, numbers=numbers) & here)
-        return sure.unionByName(may.select(F.least("a.cell", "b.cell").alias("u"), F.greatest("a.cell", "b.cell").alias("v"), F.lit(False).alias("sure")))
+        a, b = (sides.where("_odd") if odd_only else sides).alias("a"), sides.alias("b")
+        once = F.col("a.cell") < F.col("b.cell")
+        if odd_only:
+            once = (F.col("a.cell") != F.col("b.cell")) & (once | ~F.col("b._odd"))
+        # A rough bound that never leaves out a wanted pair; the JVM compiles no method above a certain size, so the rest waits.
+        several = ~(F.col("a._one") & F.col("b._one"))
+        bound = (_squared("a", "b") <= like.distance**2 * (1 + 1e-9)) & (F.abs(_difference("a", "b", "curvature")) <= like.curvature) & (_dot("a", "b") >= math.cos(min(like.angle, math.pi)) - 1e-9)
+        close = several
+        for p, q in zip(*numbers):
+            close = close & (F.abs(p - q) <= MARGIN)
+        met = a.join(b, once & (bound | close | (F.col("a._odd") & ~F.col("b._one")) | (F.col("b._odd") & ~F.col("a._one"))) & here)
+        named = met.select(F.least("a.cell", "b.cell").alias("u"), F.greatest("a.cell", "b.cell").alias("v"), alike("a", "b", like).alias("sure"), several.alias("several"))
+        return named.where("sure or several").select("u", "v", "sure")
 
     wide = ({n: i for n, (i, _) in plan.items()}, BLOCK)
     if not seen["n"]:
         return pairs(at, [wide])
     key = ["kx", "ky", "kz"]
     few, dense = at.join(crowds, key, "left_anti"), at.join(crowds, key, "left_semi")
-    keys = [wide]
+    keys, divided = [wide], dense.where(plain(like))  # normals that are not of unit length may be alike across the divisions
     for side in sorted({s for _, s in fine.values()}):
         names = {n: i for n, (i, s) in fine.items() if s == side}
-        dense = _in_blocks(dense, {n: lattice(like)[i] for n, i in names.items()}, side, MARGIN)
+        divided = _in_blocks(divided, {n: lattice(like)[i] for n, i in names.items()}, side, MARGIN)
         keys.append((names, side))
-    return pairs(few, [wide]).unionByName(pairs(dense, keys))
+    return pairs(few, [wide]).unionByName(pairs(divided, keys)).unionByName(pairs(dense, [wide], odd_only=True))
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sure pairs of a chunk replaced by stars, and the open pairs that these leave in different groups."""
+
+    def reduced(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        u, v, sure = (t.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "sure"))
+        leaf, top = forest(u[sure], v[sure])
+        order = np.argsort(leaf)
+        leaf, top = leaf[order], top[order]
+        ends = []
+        for e in (u[~sure], v[~sure]):
+            i = np.minimum(np.searchsorted(leaf, e), max(0, len(leaf) - 1))
+            ends.append(np.where(leaf[i] == e, top[i], e) if len(leaf) else e)
+        apart = ends[0] != ends[1]
+        left = [np.concatenate([top, u[~sure][apart]]), np.concatenate([leaf, v[~sure][apart]])]
+        return pa.RecordBatch.from_arrays([pa.array(left[0]), pa.array(left[1]), pa.array(np.arange(len(left[0])) < len(top))], names=["u", "v", "sure"])
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= CHUNK_EDGES:
+            yield reduced(held)
+            held, rows = [], 0
+    if rows:
+        yield reduced(held)
 
 
 def settle(ws: Workspace, open_pairs: DataFrame, points: DataFrame, cells: DataFrame, like: Likeness) -> DataFrame:
@@ -223,8 +264,7 @@ def _reaches(p: str, o: str, like: Likeness) -> Column:
         far = far + g * g
     for g in gaps[3:6]:
         turn = turn + g * g
-    chord = 2 * math.sin(min(like.angle, math.pi) / 2) + 2e-3
-    near = (far <= like.distance**2 * (1 + 1e-6)) & (gaps[6] <= like.curvature * (1 + 1e-6)) & (turn <= chord * chord)
+    near = (far <= like.distance**2 * (1 + 1e-6)) & (gaps[6] <= like.curvature * (1 + 1e-6)) & (turn <= like.chord() ** 2 * (1 + 1e-6))
     return near | ~plain(like, f"{o}.") | ~plain(like, f"{p}.")
 
 
@@ -235,16 +275,15 @@ def clustered_cells(spark: SparkSession, features: DataFrame, like: Likeness = L
     keys = cell_keys(like)
     counted = points.withColumns(keys).groupBy(*keys).agg(F.min(F.struct("id", *FEATURES)).alias("p"), F.count(F.lit(1)).alias("n"))
     cells, _ = ws.keep(counted.where(F.col("n") >= like.min_cell).select(F.col("p.id").alias("cell"), *[f"p.{c}" for c in FEATURES], "n"))
-    pairs, seen = ws.keep(near_cells(ws, cells, like).groupBy("u", "v").agg(F.bool_or("sure").alias("sure")), open=F.count_if(~F.col("sure")))
-    groups = group_links(spark, pairs.where("sure").select("u", "v"), distinct=True).toDF("cell", "grp")
+    pairs, seen = ws.keep(near_cells(ws, cells, like).mapInArrow(_contracted, "u bigint, v bigint, sure boolean"), open=F.count_if(~F.col("sure")))
+    groups = stars(spark, pairs.where("sure").select(F.col("u").alias("src"), F.col("v").alias("dst"))).toDF("cell", "grp")
     if seen["open"]:
-        groups, _ = ws.keep(groups)
         ends = pairs.where("not sure").join(groups.toDF("u", "gu"), "u", "left").join(groups.toDF("v", "gv"), "v", "left")
-        ends = ends.select("u", "v", F.coalesce("gu", "u").alias("gu"), F.coalesce("gv", "v").alias("gv")).where("gu <> gv")
+        ends = ends.select("u", "v", F.coalesce("gu", "u").alias("gu"), F.coalesce("gv", "v").alias("gv")).where("gu <> gv").distinct()
         ends, seen = ws.keep(ends, n=F.count(F.lit(1)))
         if seen["n"]:
-            more = settle(ws, ends, points, cells, like).join(ends, ["u", "v"]).select(F.least("gu", "gv").alias("u"), F.greatest("gu", "gv").alias("v"))
-            merged = group_links(spark, more).toDF("grp", "into")
+            more = settle(ws, ends, points, cells, like).join(ends, ["u", "v"]).select(F.col("gu").alias("src"), F.col("gv").alias("dst"))
+            merged = stars(spark, more).toDF("grp", "into")
             named = cells.join(groups, "cell", "left").select("cell", F.coalesce("grp", "cell").alias("grp"))
             groups = named.join(merged, "grp", "left").select("cell", F.coalesce("into", "grp").alias("grp"))
     return points, ws.keep(cells.join(groups, "cell", "left").select("cell", *FEATURES, "n", F.coalesce("grp", "cell").alias("group_id")))[0]
