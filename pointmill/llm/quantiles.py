@@ -10,6 +10,7 @@ aggregation does so before every shuffle, so one key with a third of all rows se
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ def percentiles(sketches: DataFrame, keys: list[str], qs: list[int], alpha: floa
     and ``alpha``, whatever the number of values.
     """
     g = (1 + alpha) / (1 - alpha)
-    size = F.pow(F.lit(g), F.col("bucket").cast("double")) * F.lit(2 / (g + 1))
+    # From the bucket's lower end, so that the last bucket below the largest double does not overflow.
+    size = F.least(F.pow(F.lit(g), F.col("bucket").cast("double") - 1) * F.lit(2 * g / (g + 1)), F.lit(sys.float_info.max))
     at = sketches.withColumn("_v", F.col("sign") * F.when(F.col("sign") == 0, 0.0).otherwise(size))
     w = Window.partitionBy(*keys).orderBy("sign", F.col("sign") * F.col("bucket"))
     at = at.withColumn("_upto", F.sum("n").over(w)).withColumn("_all", F.sum("n").over(Window.partitionBy(*keys)))
