@@ -59,6 +59,9 @@ def test_percentiles_are_within_their_error_and_merge(spark):
             for q in (1, 50, 95, 99, 100):
                 true = own[min(len(own) * q // 100, len(own) - 1)]
                 assert abs(r[f"p{q}"] - true) <= 0.0101 * abs(true)
+    ends = spark.createDataFrame([(0, v) for v in (1.7976931348623157e308, -1.7976931348623157e308, 5e-324)], "k int, v double")
+    r = quantiles.percentiles(quantiles.sketch(ends, ["k"], "v"), ["k"], [1, 100]).first()
+    assert abs(r.p1 + 1.7976931348623157e308) <= 0.0101 * 1.7976931348623157e308 and abs(r.p100 - 1.7976931348623157e308) <= 0.0101 * 1.7976931348623157e308
     assert quantiles.percentiles(quantiles.sketch(df.where("v > 1e300 and v < 0"), ["k"], "v"), ["k"], [50]).count() == 0
 
 
@@ -307,6 +310,57 @@ def test_pairs_of_learned_words_need_no_label(spark):
     assert sorted(t for d, t in got if d >= 16) == ["Odelis Ulfardun", "Ulfardun, Odelis"] and len(got) == 18
 
 
+NAMES = [("Velna", "given", "lat"), ("Kessetzi", "family", "lat")]
+NO_ADDRESS = ["Im Jahr 2019", "Im August 2020", "Am Samstag 7", "Via Email 24", "Zum Preis 99", "3 Better Way", "2019 Grand Place"]
+
+
+def test_phrases_with_a_number_are_no_addresses(spark):
+    """Alone, and beside streets of the same types that stand in contact lines."""
+    names = spark.createDataFrame(NAMES, "word string, name_kind string, script string")
+    frames = ["{}", "{} war alles anders.", "Seen today: it was {} again, they said."]
+    docs = [f.format(x) for x in NO_ADDRESS for f in frames[1:]] + NO_ADDRESS
+    assert pii.find(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), names).where("kind = 'address'").count() == 0
+    real = [f"Adresse: {s} {i} | Tel. +1 212 555 01{i:02d}" for i in range(10, 40) for s in ("Am Dornigaberg", "Via Lodwick", "Zum Brimtor", "Hauptstraße")] + [f"Address: {i} Velstow {t} | +1 212 555 01{i}" for i in range(10, 40) for t in ("Road", "Street", "Lane", "Way", "Place")]
+    docs = [f.format(x) for x in NO_ADDRESS for f in frames[1:]] + real
+    found = pii.find(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), names).where("kind = 'address'").collect()
+    texts = [docs[r.doc_id][r.start_at : r.end_at] for r in found]
+    assert not set(texts) & set(NO_ADDRESS) and all(r.doc_id >= 14 for r in found)
+    assert {"Am Dornigaberg 12", "Via Lodwick 12", "Zum Brimtor 12", "Hauptstraße 12", "12 Velstow Road", "12 Velstow Way", "12 Velstow Place"} <= set(texts)
+
+
+def test_plain_emails_need_no_witness_and_files_are_none(spark):
+    docs = ["please write to bob.k@site.example soon", "see logo@2x.png and icon@3x.png here", "info (chiocciola) esempio (punto) test"] + [f"<img src=pic{i}@2x.png>" for i in range(5)]
+    found = pii.find(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), spark.createDataFrame(NAMES, "word string, name_kind string, script string"))
+    assert [docs[r.doc_id][r.start_at : r.end_at] for r in found.where("kind = 'email'").collect()] == ["bob.k@site.example"]
+
+
+def test_labels_are_read_as_far_back_as_their_words_go():
+    long = "passport " + "a" * 70 + " " + "b" * 70 + " nr 990218130"
+    assert pii.label_before(long, 0, long.index("9902"))[2].split()[0] == "passport"
+    line = "first words, passport number " + "z" * 30 + " 990218130"
+    assert pii.label_before(line, 0, line.index("9902")) == ("z" * 30, "number " + "z" * 30, "passport number " + "z" * 30)
+    assert pii.label_before("one two three.\nx 99", 15, 17) == ("x", "x", "x") and pii.label_before("99", 0, 0) == ("", "", "")
+
+
+def test_claimed_spans():
+    rnd = random.Random(2)
+    for _ in range(200):
+        taken, plain = pii._Taken(), []
+        for _ in range(30):
+            a = rnd.randrange(60)
+            b = a + rnd.randint(1, 6)
+            assert taken.hit(a, b) == any(x < b and a < y for x, y in plain)
+            if rnd.random() < 0.5:
+                taken.add(a, b)
+                plain.append((a, b))
+
+
+def test_a_document_of_many_contact_lines(spark):
+    text = "\n".join(f"Kessetzi, Velna, {i} Velstow Road, Tel. +1 212 555 {i:04d}, a{i}@b.test" for i in range(3000))
+    found = pii.find(spark, spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame(NAMES, "word string, name_kind string, script string"))
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == dict.fromkeys(("email", "address", "phone", "name"), 3000)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     names = spark.createDataFrame([], "word string, name_kind string")
