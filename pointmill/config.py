@@ -10,7 +10,8 @@ class SegmentationConfig:
     """Defaults equal the documented command line; ``curvature_percentile`` is honoured.
 
     ``max_component`` is the number of points up to which a connected component is merged by one task; larger ones
-    are merged in levels over many tasks, with the same labels.
+    are merged in levels over many tasks, with the same labels.  ``level_share`` is the share of edges, by the number of regions,
+    in the first level; it sets the pace, not the result.
     """
 
     normal_radius: float = 0.5
@@ -24,7 +25,8 @@ class SegmentationConfig:
     inclusive: bool = True
     voxel_size: float = 0.4
     num_classes: int = 9
-    max_component: int = 200_000
+    max_component: int = 500_000
+    level_share: float = 0.05
     bundle_edges: int = 500_000
 
 

@@ -26,6 +26,11 @@ def count_segments(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count_distinct("segment_id").alias("segments"))
 
 
+def first_active(roots: DataFrame) -> DataFrame:
+    """One row: the active vertex with the lowest number, null if there is none."""
+    return roots.agg(F.min(F.when(F.col("point_id") == F.col("root"), F.col("point_id"))).alias("vertex"))
+
+
 def active_counts(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: vertices that are still roots, and edges whose ends are in different regions."""
     live = roots.agg(F.count_if(F.col("root") == F.col("point_id")).alias("active_vertices"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pointmill.workspace import Workspace
 ROOTS = "point_id bigint, root bigint, size bigint, x double, y double, z double, nx double, ny double, nz double, merges bigint, skipped bigint, angle_rejects bigint, curvature_rejects bigint"
 COUNTERS = ("merges", "skipped", "angle_rejects", "curvature_rejects")
 Key = tuple[float, int]
+#: Runs of a level after which it is begun again with half its edges.
+PATIENCE = 6
 
 
 @dataclass
@@ -101,22 +104,23 @@ def greedy_merge(regions: Regions, g: Graph, cfg: SegmentationConfig, threshold:
     left, right, w, alive, queued = g.left, g.right, g.weight, g.alive, g.queued
     stamp = [0] * len(left)
     at: list[list[int]] = [[] for _ in regions.size]
-    between: dict[tuple[int, int], int] = {}
+    n = len(regions.size)
+    between: dict[int, int] = {}  # the edge of a pair of regions
     for e, (a, b) in enumerate(zip(left, right)):
         at[a].append(e)
         at[b].append(e)
-        between[(a, b) if a < b else (b, a)] = e
+        between[a * n + b if a < b else b * n + a] = e
     top = limit or (math.inf, 0)
     if cfg.stop_weight is not None:
         top = min(top, (cfg.stop_weight, 1 << 62))
     queue = [(w[e], g.number[e], e, 0) for e in range(len(left)) if queued[e] and (w[e], g.number[e]) <= top]
     heapq.heapify(queue)
-    count = dict.fromkeys(COUNTERS, 0)
+    counts = dict.fromkeys(COUNTERS, 0)
     escapes: list[tuple[int, int]] = []
 
     def bury(e: int) -> None:
         alive[e] = False
-        count["skipped"] += queued[e] and (cfg.stop_weight is None or w[e] <= cfg.stop_weight)
+        counts["skipped"] += queued[e] and (cfg.stop_weight is None or w[e] <= cfg.stop_weight)
 
     while queue:
         _, _, e, version = heapq.heappop(queue)
@@ -126,29 +130,29 @@ def greedy_merge(regions: Regions, g: Graph, cfg: SegmentationConfig, threshold:
         a, b = left[e], right[e]
         if cfg.gates:
             if regions.angle(a, b) > cfg.angle_threshold:
-                count["angle_rejects"] += 1
+                counts["angle_rejects"] += 1
                 continue
             if max(regions.cur[a], regions.cur[b]) > threshold:
-                count["curvature_rejects"] += 1
+                counts["curvature_rejects"] += 1
                 continue
         if own is not None and not (own[a] and own[b]):
             escapes.append((a, b) if own[a] else (b, a))
             continue
         regions.absorb(a, b)
-        count["merges"] += 1
+        counts["merges"] += 1
         alive[e] = False
-        del between[(a, b) if a < b else (b, a)]
+        del between[a * n + b if a < b else b * n + a]
         again = []
         for m in at[b]:
             if not alive[m]:
                 continue
             c = right[m] if left[m] == b else left[m]
-            del between[(b, c) if b < c else (c, b)]
+            del between[b * n + c if b < c else c * n + b]
             if left[m] == b:
                 left[m] = a
             else:
                 right[m] = a
-            pair = (a, c) if a < c else (c, a)
+            pair = a * n + c if a < c else c * n + a
             rival = between.get(pair)
             if rival is not None:
                 if w[m] < w[rival]:
@@ -167,7 +171,7 @@ def greedy_merge(regions: Regions, g: Graph, cfg: SegmentationConfig, threshold:
             queued[m] = g.moved[m] = True
             if (w[m], g.number[m]) <= top:
                 heapq.heappush(queue, (w[m], g.number[m], m, stamp[m]))
-    return count, escapes
+    return counts, escapes
 
 
 def _load(points: pa.Table, edges: pa.Table) -> tuple[np.ndarray, Regions, Graph, dict[str, np.ndarray]]:
@@ -184,12 +188,12 @@ def _load(points: pa.Table, edges: pa.Table) -> tuple[np.ndarray, Regions, Graph
 def _kernel(cfg: SegmentationConfig, threshold: float):  # noqa: ANN202
     def run(points: pa.Table, edges: pa.Table) -> pa.Table:
         ids, r, g, _ = _load(points, edges)
-        count, _ = greedy_merge(r, g, cfg, threshold)
+        counts, _ = greedy_merge(r, g, cfg, threshold)
         root = np.array([r.find(v) for v in range(len(ids))], dtype=np.int64)
         once = np.zeros(len(ids), dtype=np.int64)
         once[:1] = 1  # counters stand in the bundle's first row
         pos, nor = np.array(r.pos, dtype=float).reshape(-1, 3)[root], np.array(r.nor, dtype=float).reshape(-1, 3)[root]
-        arrays = [ids, ids[root], np.array(r.size, dtype=np.int64)[root], *pos.T, *nor.T, *[once * count[c] for c in COUNTERS]]
+        arrays = [ids, ids[root], np.array(r.size, dtype=np.int64)[root], *pos.T, *nor.T, *[once * counts[c] for c in COUNTERS]]
         return pa.table([pa.array(np.ascontiguousarray(a)) for a in arrays], names=[x.split()[0] for x in ROOTS.split(", ")])
 
     return run
@@ -240,7 +244,7 @@ def _level_kernel(cfg: SegmentationConfig, threshold: float, limit: Key | None):
         ids, r, g, col = _load(points, edges)
         own = col["own"].tolist()
         was = list(g.queued)
-        count, escapes = greedy_merge(r, g, cfg, threshold, limit, own)
+        counts, escapes = greedy_merge(r, g, cfg, threshold, limit, own)
         rows: list[dict] = []
         for v in range(len(ids)):
             if r.parent[v] != v:
@@ -256,7 +260,7 @@ def _level_kernel(cfg: SegmentationConfig, threshold: float, limit: Key | None):
             if g.moved[e] and not (own[a] and own[b]):
                 rows.append({"kind": "touch", "id": ids[r.find(a if own[a] else b)], "a": ids[b if own[a] else a]})
         rows += [{"kind": "escape", "id": ids[a], "a": ids[b]} for a, b in escapes]
-        rows += [{"kind": "count", "id": i, "a": count[c]} for i, c in enumerate(COUNTERS)]
+        rows += [{"kind": "count", "id": i, "a": counts[c]} for i, c in enumerate(COUNTERS)]
         cols = [(x.split()[0], {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]]) for x in CHANGES.split(", ")]
         return pa.table([pa.array([None if (x := row.get(n)) is None else x.item() if hasattr(x, "item") else x for row in rows], t) for n, t in cols], names=[n for n, _ in cols])
 
@@ -279,8 +283,9 @@ def _limit(edges: DataFrame, wanted: int, queued: int) -> Key | None:
 def merge_levels(spark: SparkSession, vertices: DataFrame, edges: DataFrame, threshold: float, cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
     """ROOTS as by one sequential run, level by level over many tasks (see the module's text).
 
-    A level takes about as many edges as half the regions that wait, fewer if that makes a component of more than
-    ``cfg.max_component`` regions, and all once ``cfg.bundle_edges`` are left.
+    A level takes few edges for the number of regions at first (``cfg.level_share``), so that few of its merges are neighbours across
+    bundles; more where no components had to be put together, fewer where that went on or where a component got more than
+    ``cfg.max_component`` regions.  Once no more regions than that are left, one task takes the rest.
     """
     ws = Workspace(spark, "levels")
     start = edges.select("edge_id", "src", "dst", "weight", F.lit(True).alias("queued"))
@@ -290,10 +295,10 @@ def merge_levels(spark: SparkSession, vertices: DataFrame, edges: DataFrame, thr
     live, seen = ws.keep(start, queued=F.count_if("queued"))
     moves: list[DataFrame] = []
     total = dict.fromkeys(COUNTERS, 0)
-    share, left = 1.0, seen_r["n"]
+    share, left = cfg.level_share, seen_r["n"]
     while seen["queued"]:
-        wanted = max(2, int(share * left / 2))
-        limit = None if seen["queued"] <= cfg.bundle_edges else _limit(live, wanted, seen["queued"])
+        wanted = max(2, int(share * left))
+        limit = None if left <= cfg.max_component else _limit(live, wanted, seen["queued"])
         active = live.where("queued")
         if limit is not None:
             active = active.where((F.col("weight") < limit[0]) | ((F.col("weight") == limit[0]) & (F.col("edge_id") <= limit[1])))
@@ -304,19 +309,23 @@ def merge_levels(spark: SparkSession, vertices: DataFrame, edges: DataFrame, thr
             continue
         member = found.select(F.col("v").alias("point_id"), F.col("u").alias("component")).unionByName(found.select(F.col("u").alias("point_id"), F.col("u").alias("component")).distinct())
         member, _ = ws.keep(member)
-        while True:
-            out, got = _run_level(ws, regions, live, member, max(1, -(-4 * n_active["all"] // cfg.bundle_edges)), cfg, threshold, limit)
+        bundles = 1 if limit is None else max(1, -(-4 * n_active["all"] // cfg.bundle_edges))
+        for rounds in count(1):
+            out, got = _run_level(ws, regions, live, member, bundles, cfg, threshold, limit)
             clash = out.where("kind = 'escape'").select("id", "a")
             if got["touches"]:
                 changed = out.where("kind in ('gone', 'grown')").select(F.col("id").alias("a")).distinct()
                 clash = clash.unionByName(out.where("kind = 'touch'").select("id", "a").distinct().join(changed, "a", "left_semi"))
             both = clash.join(member.toDF("id", "c1"), "id").join(member.toDF("a", "c2"), "a", "left")
             links, hit = ws.keep(both.select(F.col("c1").alias("src"), F.coalesce("c2", "a").alias("dst"), F.when(F.col("c2").isNull(), F.col("a")).alias("new")), n=F.count(F.lit(1)))
-            if not hit["n"]:
+            if not hit["n"] or (rounds == PATIENCE and wanted > 2):
                 break
             joined = stars(spark, links).toDF("component", "into")
             more = links.where("new is not null").select(F.col("new").alias("point_id"), F.col("new").alias("component")).distinct()
             member, _ = ws.keep(member.unionByName(more).join(joined, "component", "left").select("point_id", F.coalesce("into", "component").alias("component")))
+        if hit["n"]:
+            share /= 2
+            continue
         for r in out.where("kind = 'count'").groupBy("id").agg(F.sum("a").alias("n")).collect():  # one row a counter
             total[COUNTERS[r["id"]]] += r["n"]
         gone = out.where("kind = 'gone'").select(F.col("id").alias("gone"), F.col("a").alias("keep"))
@@ -329,7 +338,7 @@ def merge_levels(spark: SparkSession, vertices: DataFrame, edges: DataFrame, thr
         if cfg.stop_weight is not None:
             new = new.withColumn("queued", F.col("queued") & (F.col("weight") <= cfg.stop_weight))
         live, seen = ws.keep(live.join(done, "edge_id", "left_anti").unionByName(new), queued=F.count_if("queued"))
-        share, left = min(1.0, share * 2), seen_r["n"]
+        share, left = share * (1.5 if rounds == 1 and n_active["most"] * 8 <= cfg.max_component else 0.7 if rounds > 3 else 1), seen_r["n"]
     # A level's survivors may be absorbed in a later one: compose from the last level back, as tables shrink.
     hop = None
     for m in reversed(moves):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +84,9 @@ class Experiment:
     scores: DataFrame
     class_scores: DataFrame
     purity: DataFrame
+    distribution: DataFrame
+    thinned: DataFrame | None = None
+    thin_labels: DataFrame | None = None
 
 
 def score(spark: SparkSession, truth: DataFrame, final: DataFrame, cfg: SegmentationConfig) -> Experiment:
@@ -92,7 +95,7 @@ def score(spark: SparkSession, truth: DataFrame, final: DataFrame, cfg: Segmenta
     pairs = evaluate.paired(truth, final)
     best = evaluate.mapped(pairs)
     matrix = evaluate.confusion(spark, best, cfg.num_classes)
-    return Experiment(final, best, evaluate.mean_iou(matrix), evaluate.class_iou(matrix), evaluate.purity_summary(pairs))
+    return Experiment(final, best, evaluate.mean_iou(matrix), evaluate.class_iou(matrix), evaluate.purity_summary(pairs), evaluate.distribution(pairs))
 
 
 def experiment(spark: SparkSession, raw: DataFrame, truth: DataFrame, cfg: SegmentationConfig = SegmentationConfig(), predicted: DataFrame | None = None, as_files: bool = False) -> Experiment:
@@ -109,4 +112,4 @@ def experiment(spark: SparkSession, raw: DataFrame, truth: DataFrame, cfg: Segme
     neighbors.require_same_length(thin, lab, "thinned cloud and labels")
     centers = thin.join(lab, "point_id")
     final = neighbors.nearest_label(spark, raw, centers, "segment_id", cfg.voxel_size * 3**0.5).withColumnRenamed("label", "segment_id")
-    return score(spark, truth, ws.keep(final)[0], cfg)
+    return replace(score(spark, truth, ws.keep(final)[0], cfg), thinned=thin, thin_labels=lab)

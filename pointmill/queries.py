@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.config import SegmentationConfig
-from pointmill.functions.ranks import index_percentiles
+from pointmill.functions.ranks import index_percentiles, number_rows
 from pointmill.functions.vector import finite
 from pointmill.operators import bounds, components, evaluate, features, graph, labels, merge, neighbors
 from pointmill.operators.tree_aggregate import segment_majority
@@ -193,8 +193,12 @@ def active_counts_emb(spark: SparkSession, sf: str) -> DataFrame:
     return labels.active_counts(roots, neighbors.radius_pairs(pts, R_EMB))
 
 
+def first_active_emb(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.first_active(components_emb(spark, sf).toDF("point_id", "root"))
+
+
 def adjacency_emb(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.adjacency(edge_weights_emb(spark, sf)).select("point_id", "degree", F.array_min("edge_ids").alias("first_edge"), F.array_max("edge_ids").alias("last_edge"))
+    return graph.adjacency(edge_weights_emb(spark, sf)).select("point_id", "degree", F.array_join(F.transform("edge_ids", lambda e: e.cast("string")), ",").alias("edge_ids"))
 
 
 def _merged(spark: SparkSession, f: DataFrame, cfg: SegmentationConfig) -> DataFrame:
@@ -206,6 +210,7 @@ def greedy_merge_emb(spark: SparkSession, sf: str) -> DataFrame:
     return labels.dense_labels(_merged(spark, _emb_features(spark, sf), CFG).select("point_id", "root"))
 
 
+SWEEP = (0.1, 0.2, 0.4, 0.8)
 LEGACY = replace(CFG, gates=False, curvature_weight=0.0, stop_weight=0.3)
 
 
@@ -215,7 +220,7 @@ def greedy_merge_legacy_emb(spark: SparkSession, sf: str) -> DataFrame:
 
 def threshold_sweep_emb(spark: SparkSession, sf: str) -> DataFrame:
     f = _emb_features(spark, sf)
-    runs = [merge.merge_metrics(_merged(spark, f, replace(LEGACY, stop_weight=t))).select(F.lit(t).alias("threshold"), "points", "segments", "merges") for t in (0.1, 0.2, 0.4, 0.8)]
+    runs = [merge.merge_metrics(_merged(spark, f, replace(LEGACY, stop_weight=t))).select(F.lit(t).alias("threshold"), "points", "segments", "merges") for t in SWEEP]
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
@@ -227,12 +232,12 @@ def merge_metrics_emb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def region_table_emb(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(merge.region_table(_merged(spark, _emb_features(spark, sf), CFG)))
+    return rounded(merge.region_table(_merged(spark, _emb_features(spark, sf), CFG)), 4)
 
 
 def merge_levels_emb(spark: SparkSession, sf: str) -> DataFrame:
     """greedy_merge_emb as for a component that is too large for one task."""
-    cfg = replace(CFG, max_component=60, bundle_edges=200)
+    cfg = replace(CFG, max_component=420, bundle_edges=400, level_share=0.2)
     return labels.dense_labels(_merged(spark, _emb_features(spark, sf), cfg).select("point_id", "root"))
 
 
@@ -296,6 +301,13 @@ def nn_label_transfer_cloud(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.nearest_label(spark, pts, centers, "label", VOXEL * 3**0.5)
 
 
+def nn_label_transfer_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Each lattice point of LINE, numbered in its order, beside its nearest voxel mean."""
+    pts = number_rows(line(spark, sf).distinct(), ["x", "y", "z"], "point_id")
+    centers = bounds.voxel_downsample(pts.select("x", "y", "z"), 3.0).withColumn("label", F.col("point_id"))
+    return neighbors.nearest_label(spark, pts, centers, "label", 3.0 * 3**0.5)
+
+
 def zip_visualization(spark: SparkSession, sf: str) -> DataFrame:
     lab = read(spark, sf, "point_classes").where("class_id is not null").groupBy("point_id").agg(F.min("class_id").alias("class_id"))
     return sources.visualization_lines(cloud(spark, sf), lab, "class_id")
@@ -327,9 +339,9 @@ QUERIES: dict[str, Query] = {
         bounds_line, spacing_line, bounds_cloud, voxel_downsample_line, voxel_counts_line, voxel_downsample_cloud, radius_pairs_emb, radius_pairs_cloud, radius_degree_emb,
         local_covariance_emb, curvature_emb, curvature_cloud, normals_emb, curvature_stats_emb, curvature_threshold_emb, curvature_percentiles_features, edge_weights_emb,
         edge_weights_legacy_emb, pruned_edges_emb, angle_gated_edges_emb, components_emb, components_cloud, smooth_components_emb, dense_relabel_emb, segment_sizes_emb,
-        segment_count_emb, average_degree_emb, active_counts_emb, adjacency_emb, greedy_merge_emb, greedy_merge_legacy_emb, threshold_sweep_emb, merge_metrics_emb,
+        segment_count_emb, average_degree_emb, active_counts_emb, first_active_emb, adjacency_emb, greedy_merge_emb, greedy_merge_legacy_emb, threshold_sweep_emb, merge_metrics_emb,
         region_table_emb, merge_levels_emb, segmentation_cloud, cluster_class_histogram, majority_class, cluster_purity, purity_summary, gt_distribution, mapped_labels,
-        confusion_matrix, per_class_iou, mean_iou, overall_accuracy, nn_label_transfer_cloud, zip_visualization, xyz_text_parse, p2_found, p2_points, p6_found,
+        confusion_matrix, per_class_iou, mean_iou, overall_accuracy, nn_label_transfer_cloud, nn_label_transfer_line, zip_visualization, xyz_text_parse, p2_found, p2_points, p6_found,
     )
 }
 
@@ -342,7 +354,7 @@ _CLOUD = """cloud AS (SELECT point_id, any_value(x) AS x, any_value(y) AS y, any
 
 
 def _pairs(source: str, r: float) -> str:
-    return f"""pairs AS (
+    return f"""pairs AS MATERIALIZED (
   SELECT a.point_id AS src, b.point_id AS dst, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2
   FROM {source} a JOIN {source} b ON a.point_id < b.point_id
   WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= {r * r!r})"""
@@ -362,20 +374,20 @@ pick AS (SELECT *, CASE WHEN list_inner_product(p1, p1) >= greatest(list_inner_p
   WHEN list_inner_product(p2, p2) >= list_inner_product(p3, p3) THEN p2 ELSE p3 END AS v FROM crs),
 unit AS (SELECT k.*, g.x, g.y, g.z, v[1]/sqrt(list_inner_product(v, v)) AS ux, v[2]/sqrt(list_inner_product(v, v)) AS uy, v[3]/sqrt(list_inner_product(v, v)) AS uz
   FROM pick k JOIN {source} g USING (point_id)),
-feat AS (SELECT point_id, n AS n_neighbors, x, y, z,
+feat AS MATERIALIZED (SELECT point_id, n AS n_neighbors, x, y, z,
   CASE WHEN n < 3 OR isnan(ux) THEN 0 WHEN ux*x + uy*y + uz*z > 0 THEN -ux ELSE ux END AS nx,
   CASE WHEN n < 3 OR isnan(ux) THEN 0 WHEN ux*x + uy*y + uz*z > 0 THEN -uy ELSE uy END AS ny,
   CASE WHEN n < 3 OR isnan(ux) THEN 1 WHEN ux*x + uy*y + uz*z > 0 THEN -uz ELSE uz END AS nz,
   CASE WHEN n < 3 OR m = 0 THEN 0 ELSE abs(l/(3*m)) END AS curvature FROM unit)""".replace("list_cross_product", "array_cross_product").replace("list_inner_product", "array_inner_product")
 
 
-_EDGES = """edges0 AS (SELECT p.src, p.dst, sqrt(p.d2) AS dist, acos(greatest(-1, least(1, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) AS ang,
+_EDGES = """edges0 AS MATERIALIZED (SELECT p.src, p.dst, sqrt(p.d2) AS dist, acos(greatest(-1, least(1, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) AS ang,
   greatest(a.curvature, b.curvature) AS curv FROM pairs p JOIN feat a ON a.point_id = p.src JOIN feat b ON b.point_id = p.dst)"""
 _EF = f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_features('emb')}"
 
 
 def _threshold(q: int) -> str:
-    return f"thr AS (SELECT curvature AS t FROM feat QUALIFY row_number() OVER (ORDER BY curvature) = least(count(*) OVER () * {q} // 100, count(*) OVER () - 1) + 1)"
+    return f"thr AS MATERIALIZED (SELECT list_sort(list(curvature))[least(count(*) * {q} // 100, count(*) - 1) + 1] AS t FROM feat)"
 
 
 def _reach(links: str, source: str) -> str:
@@ -388,6 +400,44 @@ reach(point_id, component) USING KEY (point_id) AS (
   WHERE r.component < o.component GROUP BY w.v)"""
 
 
+_NO = ", ".join(["NULL::DOUBLE"] * 8)
+
+
+def _merge(curvature_weight: float = 1.0, stop: float | None = None, gates: bool = True, name: str = "st") -> str:
+    """The sequential merge without the edges of too curved points, one pop per recursion step, over keyed rows: edges (kind 0: ends l and r, weight, in the queue, live),
+    points (kind 1: l is the root, roots are live and have attributes) and counters (kind 2, in w: merges, skipped, rejects by angle and curvature)."""
+    ang = "acos(greatest(-1, least(1, {p}.nx*{q}.nx + {p}.ny*{q}.ny + {p}.nz*{q}.nz)))"
+    weight = f"sqrt((v.x-c.x)*(v.x-c.x) + (v.y-c.y)*(v.y-c.y) + (v.z-c.z)*(v.z-c.z)) + 0.5 * {ang.format(p='v', q='c')}" + (" + greatest(v.cur, c.cur)" if curvature_weight else "")
+    turned, bent = (f"{ang.format(p='va', q='vb')} > {CFG.angle_threshold}", "greatest(va.cur, vb.cur) > t.t") if gates else ("FALSE", "FALSE")
+    now, due = f"recurring.{name}", f"AND w <= {stop}" if stop else ""
+    return f"""numbered_{name} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS id, src, dst, dist + 0.5 * ang{' + curv' if curvature_weight else ''} AS w, curv FROM edges0),
+{name}(kind, id, l, r, w, q, live, size, x, y, z, nx, ny, nz, cur) USING KEY (kind, id) AS (
+  SELECT 0, id, src, dst, w, TRUE, TRUE, {_NO} FROM numbered_{name} {'WHERE curv <= (SELECT t FROM thr)' if gates else ''}
+  UNION ALL SELECT 1, point_id, point_id, NULL, NULL, FALSE, TRUE, 1.0, x, y, z, nx, ny, nz, curvature FROM feat
+  UNION ALL SELECT 2, range, NULL, NULL, 0, FALSE, FALSE, {_NO} FROM range(4)
+  UNION
+  (WITH e AS (SELECT id, l, r, w, q FROM {now} WHERE kind = 0 AND q AND live {due} ORDER BY w, id LIMIT 1),
+   g AS (SELECT e.id, e.l AS a, e.r AS b, e.w, {turned} AS turned, {bent} AS bent, va.size + vb.size AS n, va.size / (va.size + vb.size) AS f, vb.size / (va.size + vb.size) AS h, va, vb
+     FROM e JOIN {now} va ON va.kind = 1 AND va.id = e.l JOIN {now} vb ON vb.kind = 1 AND vb.id = e.r, thr t),
+   m AS (SELECT *, f*va.x + h*vb.x AS x, f*va.y + h*vb.y AS y, f*va.z + h*vb.z AS z, f*va.nx + h*vb.nx AS px, f*va.ny + h*vb.ny AS py, f*va.nz + h*vb.nz AS pz, va.cur AS cur FROM g WHERE NOT turned AND NOT bent),
+   k AS (SELECT *, CASE WHEN sqrt(px*px + py*py + pz*pz) > 1e-10 THEN sqrt(px*px + py*py + pz*pz) ELSE 1 END AS len FROM m),
+   v AS (SELECT id, a, b, n, x, y, z, px/len AS nx, py/len AS ny, pz/len AS nz, cur FROM k),
+   moved AS (SELECT s.id, s.w, s.q, v.a, CASE WHEN s.l = v.b THEN s.r ELSE s.l END AS c, s.l = v.b AS at_left FROM v JOIN {now} s ON s.kind = 0 AND s.live AND s.id <> v.id AND (s.l = v.b OR s.r = v.b)),
+   met AS (SELECT d.*, o.id AS rid, o.w AS rw, o.l AS rl, o.r AS rr, o.q AS rq FROM moved d LEFT JOIN {now} o ON o.kind = 0 AND o.live AND o.id <> d.id AND ((o.l = d.a AND o.r = d.c) OR (o.l = d.c AND o.r = d.a))),
+   event AS (SELECT CASE WHEN turned THEN 2 WHEN bent THEN 3 ELSE 0 END AS id, 1 AS n FROM g
+     UNION ALL SELECT 1, count(*) FILTER (CASE WHEN w < rw THEN rq {due.replace(' w ', ' rw ')} ELSE q {due} END) FROM met WHERE rid IS NOT NULL HAVING count(*) > 0)
+   SELECT 0, id, a, b, w, FALSE, turned OR bent, {_NO} FROM g
+   UNION ALL SELECT 1, s.id, v.a, NULL, NULL, FALSE, FALSE, s.size, s.x, s.y, s.z, s.nx, s.ny, s.nz, s.cur FROM v JOIN {now} s ON s.kind = 1 AND s.l = v.b
+   UNION ALL SELECT 1, a, a, NULL, NULL, FALSE, TRUE, n, x, y, z, nx, ny, nz, cur FROM v
+   UNION ALL SELECT 0, rid, rl, rr, rw, rq, FALSE, {_NO} FROM met WHERE w < rw
+   UNION ALL SELECT 0, d.id, CASE WHEN at_left THEN d.a ELSE d.c END, CASE WHEN at_left THEN d.c ELSE d.a END, CASE WHEN d.w >= rw THEN d.w ELSE {weight} END, TRUE, rid IS NULL OR d.w < rw, {_NO}
+     FROM met d JOIN v ON TRUE JOIN {now} c ON c.kind = 1 AND c.id = d.c
+   UNION ALL SELECT 2, s.id, NULL, NULL, s.w + event.n, FALSE, FALSE, {_NO} FROM event JOIN {now} s ON s.kind = 2 AND s.id = event.id))"""
+
+
+_DENSE = "SELECT id AS point_id, dense_rank() OVER (ORDER BY first) - 1 AS segment_id FROM (SELECT id, min(id) OVER (PARTITION BY l) AS first FROM st WHERE kind = 1)"
+
+
 _SCORED = """truth AS (SELECT point_id, min(class_id)::BIGINT AS gt FROM point_classes WHERE class_id IS NOT NULL GROUP BY point_id),
 scored AS (SELECT point_id, gt, segment_id AS cluster FROM (SELECT DISTINCT run_id, point_id, segment_id FROM predictions WHERE segment_id IS NOT NULL) JOIN truth USING (point_id)),
 hist AS (SELECT cluster, gt, count(*) AS n FROM scored WHERE cluster >= 0 GROUP BY ALL),
@@ -472,20 +522,31 @@ ORACLE: dict[str, str] = {
         SELECT q, n, round(v, 9) + 0.0 AS value FROM q JOIN o ON k = least(n * q // 100, n - 1)""",
     "edge_weights_emb": f"{_EF}, {_EDGES} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, round(dist + 0.5 * ang + curv, 4) AS weight FROM edges0",
     "edge_weights_legacy_emb": f"{_EF}, {_EDGES} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, round(dist + 0.5 * ang, 4) AS weight FROM edges0",
-    "pruned_edges_emb": f"{_EF}, {_EDGES}, {_threshold(95)} SELECT src, dst FROM edges0, thr WHERE curv <= t",
-    "angle_gated_edges_emb": f"{_EF}, {_EDGES}, {_threshold(98)} SELECT src, dst FROM edges0, thr WHERE curv <= t AND ang <= 0.52",
+    "pruned_edges_emb": f"{_EF}, {_EDGES}, {_threshold(95)} SELECT src, dst FROM edges0 WHERE curv <= (SELECT t FROM thr)",
+    "angle_gated_edges_emb": f"{_EF}, {_EDGES}, {_threshold(98)} SELECT src, dst FROM edges0 WHERE curv <= (SELECT t FROM thr) AND ang <= 0.52",
     "components_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT * FROM reach",
     "components_cloud": f"WITH RECURSIVE {_CLOUD}, {_pairs('cloud', R_CLOUD)}, {_reach('pairs', 'cloud')} SELECT * FROM reach",
-    "smooth_components_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, smooth AS (SELECT src, dst FROM edges0, thr WHERE curv <= t AND ang <= 0.52), {_reach('smooth', 'emb')} SELECT * FROM reach",
+    "smooth_components_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, smooth AS (SELECT src, dst FROM edges0 WHERE curv <= (SELECT t FROM thr) AND ang <= 0.52), {_reach('smooth', 'emb')} SELECT * FROM reach",
     "dense_relabel_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT point_id, dense_rank() OVER (ORDER BY component) - 1 AS segment_id FROM reach",
     "segment_sizes_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT dense_rank() OVER (ORDER BY component) - 1 AS segment_id, count(*) AS size FROM reach GROUP BY component",
     "segment_count_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT count(DISTINCT component) AS segments FROM reach",
     "average_degree_emb": f"WITH {_EMB}, {_pairs('emb', R_EMB)} SELECT v AS vertices, e AS edges, round(2 * e / v, 6) AS average_degree FROM (SELECT count(*) AS v FROM emb), (SELECT count(*) AS e FROM pairs)",
     "active_counts_emb": f"""WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')}
         SELECT count(*) FILTER (point_id = component) AS active_vertices, 0::BIGINT AS active_edges FROM reach""",
+    "first_active_emb": f"WITH RECURSIVE {_EMB}, {_pairs('emb', R_EMB)}, {_reach('pairs', 'emb')} SELECT min(point_id) FILTER (point_id = component) AS vertex FROM reach",
     "adjacency_emb": f"""{_EF}, {_EDGES}, numbered AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst FROM edges0),
         ends AS (SELECT src AS point_id, edge_id FROM numbered UNION ALL SELECT dst, edge_id FROM numbered)
-        SELECT point_id, count(*) AS degree, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM ends GROUP BY point_id""",
+        SELECT point_id, count(*) AS degree, string_agg(edge_id::VARCHAR, ',' ORDER BY edge_id) AS edge_ids FROM ends GROUP BY point_id""",
+    "greedy_merge_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, {_merge()} {_DENSE}",
+    "merge_levels_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, {_merge()} {_DENSE}",
+    "greedy_merge_legacy_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, {_merge(0.0, 0.3, False)} {_DENSE}",
+    "threshold_sweep_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, "
+    + ", ".join(_merge(0.0, t, False, f"st{i}") for i, t in enumerate(SWEEP))
+    + " UNION ALL ".join(f" SELECT {t}::DOUBLE AS threshold, count(*) FILTER (kind = 1) AS points, count(*) FILTER (kind = 1 AND live) AS segments, (max(w) FILTER (kind = 2 AND id = 0))::BIGINT AS merges FROM st{i}" for i, t in enumerate(SWEEP)),
+    "merge_metrics_emb": f"""{_EF}, {_EDGES}, {_threshold(98)}, {_merge()} SELECT count(*) FILTER (kind = 1) AS points, count(*) FILTER (kind = 1 AND live) AS segments, """
+    + ", ".join(f"(max(w) FILTER (kind = 2 AND id = {i}))::BIGINT AS {c}" for i, c in enumerate(merge.COUNTERS))
+    + " FROM st",
+    "region_table_emb": f"{_EF}, {_EDGES}, {_threshold(98)}, {_merge()} SELECT id AS root, size::BIGINT AS size, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("x", "y", "z", "nx", "ny", "nz")) + " FROM st WHERE kind = 1 AND live",
     "cluster_class_histogram": f"WITH {_SCORED} SELECT cluster, gt, n FROM hist",
     "majority_class": f"WITH {_SCORED} SELECT cluster, class FROM best",
     "cluster_purity": f"WITH {_SCORED} SELECT cluster, sum(n)::BIGINT AS size, round(max(n) / sum(n), 6) AS purity FROM hist GROUP BY cluster",
@@ -500,6 +561,8 @@ ORACLE: dict[str, str] = {
     "overall_accuracy": f"WITH {_SCORED} SELECT round(sum(n) FILTER (gt = pred) / sum(n), 6) AS accuracy FROM conf",
     "nn_label_transfer_cloud": f"""WITH {_CLOUD}, {_voxels('cloud', VOXEL)}
         SELECT c.point_id, min_by(d.point_id, {{'d2': (c.x-d.x)*(c.x-d.x) + (c.y-d.y)*(c.y-d.y) + (c.z-d.z)*(c.z-d.z), 'i': d.point_id}}) AS label FROM cloud c, down d GROUP BY c.point_id""",
+    "nn_label_transfer_line": f"""WITH {_LINE}, pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY x, y, z) - 1 AS point_id, x, y, z FROM (SELECT DISTINCT x, y, z FROM line)), {_voxels('pts', 3.0)}
+        SELECT c.point_id, min_by(d.point_id, {{'d2': (c.x-d.x)*(c.x-d.x) + (c.y-d.y)*(c.y-d.y) + (c.z-d.z)*(c.z-d.z), 'i': d.point_id}}) AS label FROM pts c, down d GROUP BY c.point_id""",
     "zip_visualization": f"""WITH {_CLOUD}, lab AS (SELECT point_id, min(class_id) AS class_id FROM point_classes WHERE class_id IS NOT NULL GROUP BY 1)
         SELECT point_id, printf('%.6f %.6f %.6f %d', x, y, z, class_id) AS line FROM cloud JOIN lab USING (point_id)""",
     "xyz_text_parse": rf"""WITH f AS (SELECT line_id, regexp_extract(line, '^\s*({_NUM})\s+({_NUM})\s+({_NUM})', ['a', 'b', 'c']) AS r FROM raw_lines

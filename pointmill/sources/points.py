@@ -83,28 +83,47 @@ def read_labels(spark: SparkSession, path: str, name: str = "label") -> DataFram
     return read_matrix(spark, path, ["_v"]).select("point_id", F.col("_v").cast("int").alias(name))
 
 
-def write_lines(df: DataFrame, line: Column, path: str, header: str | None = None) -> None:
-    """One line per row in the order of point_id, as a folder of text files in name order.
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_lines(df: DataFrame, line: Column, path: str, header: str | None = None, single: bool = False) -> None:
+    """One line per row in the order of point_id, as a folder of text files in name order or as a ``single`` file.
 
     The order is kept by a range-partitioned sort, so no single task holds the table; a header is a file of its own
-    that sorts first.
+    that sorts first.  A single file is put together from the folder's files as a stream of bytes.
     """
     spark = df.sparkSession
-    df.orderBy("point_id").select(line.alias("value")).write.mode("overwrite").text(path)
+    folder = f"{path.rstrip('/')}.parts" if single else path
+    df.orderBy("point_id").select(line.alias("value")).write.mode("overwrite").text(folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(conf)
     if header is not None:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/part-00000--header.txt")
-        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+        out = fs.create(at(folder.rstrip("/") + "/part-00000--header.txt"), True)
         out.write(bytearray((header + "\n").encode()))
         out.close()
+    if single:
+        names = sorted(f.getPath().toString() for f in fs.listStatus(at(folder)) if f.getPath().getName().startswith("part-"))
+        out = fs.create(at(path), True)
+        for name in names:
+            part = fs.open(at(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.close()
+        fs.delete(at(folder), True)
 
 
-def write_labels(labels: DataFrame, path: str, column: str = "segment_id") -> None:
-    write_lines(labels, F.format_string("%d", F.col(column)), path)
+def write_labels(labels: DataFrame, path: str, column: str = "segment_id", of: DataFrame | None = None, single: bool = False) -> None:
+    """One label per line.  ValueError, and no file, if ``of``, the points they belong to, differs in length."""
+    if of is not None and (n := labels.count()) != (m := of.count()):
+        raise ValueError(f"{n} labels for {m} points")
+    write_lines(labels, F.format_string("%d", F.col(column)), path, single=single)
 
 
-def write_xyz(points: DataFrame, path: str) -> None:
-    write_lines(points, F.format_string("%.6f %.6f %.6f", "x", "y", "z"), path)
+def write_xyz(points: DataFrame, path: str, single: bool = False) -> None:
+    write_lines(points, F.format_string("%.6f %.6f %.6f", "x", "y", "z"), path, single=single)
 
 
 def short_number(c: Column) -> Column:

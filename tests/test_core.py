@@ -91,8 +91,11 @@ def test_f7_index_percentile(spark):
     assert index_percentiles(df.where("c < 0"), F.col("c"), [98]).first().value == 0.0
     same = spark.range(1000).select(F.when(F.col("id") < 700, 0.0).otherwise(F.col("id")).alias("c"))
     vals = sorted(r.c for r in same.collect())
-    got = {r.q: r.value for r in index_percentiles(same, F.col("c"), [1, 50, 71, 95], buckets=8).collect()}
-    assert got == {q: vals[1000 * q // 100] for q in (1, 50, 71, 95)}
+    for rows in (1 << 20, 40, 1):
+        got = {r.q: r.value for r in index_percentiles(same, F.col("c"), [1, 50, 71, 95], buckets=8, leaf_rows=rows).collect()}
+        assert got == {q: vals[1000 * q // 100] for q in (1, 50, 71, 95)}
+    far = spark.range(300).select(F.when(F.col("id") == 7, 1e300).otherwise(F.col("id").cast("double")).alias("c"))
+    assert {r.q: r.value for r in index_percentiles(far, F.col("c"), [0, 50, 100], buckets=16, leaf_rows=20).collect()} == {0: 0.0, 50: 151.0, 100: 1e300}
 
 
 def test_f8_scores(spark):
@@ -265,7 +268,7 @@ def test_levels_equal_the_sequential_run(spark, kind):
     e = graph.build_edges(f, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight)
     t = features.curvature_threshold(f, 95)
     one = merge.merge_components(spark, graph.vertices(f), e, t, cfg)
-    many = merge.merge_components(spark, graph.vertices(f), e, t, replace(cfg, max_component=40, bundle_edges=60))
+    many = merge.merge_components(spark, graph.vertices(f), e, t, replace(cfg, max_component=190, bundle_edges=60, level_share=0.3))
     assert merge.merge_metrics(one).first() == merge.merge_metrics(many).first()
     cols = ["point_id", "root", "size", "x", "y", "z", "nx", "ny", "nz"]
     assert sorted(one.select(*cols).collect()) == sorted(many.select(*cols).collect())
