@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers: conflict-aware best fit in rounds.
 
 An item longer than the capacity is cut into full containers and one remainder; nothing else is split.
-Items are spread over groups of bounded size, and each group packs its items, largest first, into the tightest
-open container: containers are ordered by residual (a bitmap of occupied residuals gives the successor), and each
+Items are spread over groups of bounded size, and each group packs its items, largest first (those of common sources
+and clusters before all others), into the tightest open container: containers are ordered by residual (a bitmap of occupied residuals gives the successor), and each
 carries bitmaps of its sources and duplicate clusters.  The search goes on to the next residual until it finds
 a container without a conflict; if there is none, a new one is opened, so no container holds two items of one source or
 cluster.  Only with ``spare`` does that give way: once the items left would fit into the open containers with more than
@@ -64,7 +64,10 @@ def best_fit(sizes: np.ndarray, sources: list, clusters: list, capacity: int, sp
 
     left, free = int(sizes.sum()), 0
     margin = math.inf if spare is None else spare * left
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    # Items of sources and clusters that many containers will hold go first: late ones would find them everywhere.
+    common = 0.01 * left / capacity
+    many = np.array([max(freq.get(a, 0), freq.get(b, 0)) > common for a, b in zip(*keys)], dtype=bool)
+    for i in np.lexsort((-sizes, ~many)).tolist():
         size = int(sizes[i])
         s, c = bit.get(keys[0][i], 0), bit.get(keys[1][i], 0)
         found = successor(size, s | c)
