@@ -25,14 +25,14 @@ def clean_links(df: DataFrame, left: str, right: str) -> DataFrame:
     return df.where((a >= 0) & (b >= 0) & (a != b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
 
-def group_links(spark: SparkSession, links: DataFrame, distinct: bool = False) -> DataFrame:
+def group_links(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(vertex_id, group_id) for every vertex that occurs in ``links`` (u, v; u < v, repeats allowed).
 
     group_id is the smallest vertex of the group.  An empty input gives an empty result.  The links are written once,
-    without their repeats; a table whose rows are ``distinct`` already is read as it is.
+    without their repeats.
     """
     ws = Workspace(spark, "components")
-    edges, stars, live = links if distinct else ws.keep(links.distinct())[0], [], None
+    edges, stars, live = ws.keep(links.distinct())[0], [], None
     while True:
         ends = edges.select(F.col("u").alias("c"), F.col("v").alias("f")).union(edges.select("v", "u"))
         star, live = _stars(ws, ends.groupBy("c").agg(F.min("f").alias("f")))

@@ -43,7 +43,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.describe(spark, _read(spark, sf, "features"))
+    found = clusters.describe(spark, _read(spark, sf, "features"))
+    return found.withColumn("typical", F.array_join(F.transform("typical", lambda i: i.cast("string")), ","))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,6 +117,33 @@ SELECT {keys}, max(total)::BIGINT AS n,
 FROM upto GROUP BY {keys}
 """
 
+_REACH = """
+WITH RECURSIVE pts AS (
+  SELECT point_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, any_value(nx) AS nx, any_value(ny) AS ny,
+         any_value(nz) AS nz, any_value(curvature) AS c
+  FROM features WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND isfinite(nx) AND isfinite(ny) AND isfinite(nz) AND isfinite(curvature)
+  GROUP BY point_id),
+near AS (
+  SELECT *, floor(x / 0.5) + dx AS kx, floor(y / 0.5) + dy AS ky
+  FROM pts, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)),
+links AS (
+  SELECT a.point_id AS u, b.point_id AS v
+  FROM pts a JOIN near b ON floor(a.x / 0.5) = b.kx AND floor(a.y / 0.5) = b.ky AND a.point_id <> b.point_id
+  WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.5
+    AND acos(greatest(-1, least(1, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) <= 0.52 AND abs(a.c - b.c) <= 0.02),
+reach(point_id, group_id) USING KEY (point_id) AS (
+  SELECT u, min(least(u, v)) FROM links GROUP BY u
+  UNION
+  SELECT l.v, min(r.group_id) FROM reach r JOIN links l ON l.u = r.point_id
+  JOIN recurring.reach o ON o.point_id = l.v WHERE r.group_id < o.group_id GROUP BY l.v)
+"""
+_LIKE = clusters.Likeness()
+_CELL = ", ".join(f"floor({c} * {1 / w!r}) AS q{i}" for i, (c, w) in enumerate(zip(("x", "y", "z", "nx", "ny", "nz", "c"), _LIKE.widths()))) + (
+    f", CASE WHEN abs(nx * nx + ny * ny + nz * nz - 1) < {_LIKE.unit()!r} AND "
+    + " AND ".join(f"abs({c}) < {w * 1e9!r}" for c, w in zip(("x", "y", "z", "c"), (*_LIKE.widths()[:3], _LIKE.widths()[6])))
+    + " THEN -1 ELSE point_id END AS q7"
+)
+
 ORACLE: dict[str, str] = {
     "p1_found": """
 WITH RECURSIVE links AS (
@@ -139,27 +167,13 @@ near AS (
   FROM pts a JOIN pts b ON a.point_id <> b.point_id GROUP BY a.point_id)
 SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM near
 """,
-    "p5_found": """
-WITH RECURSIVE pts AS (
-  SELECT point_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, any_value(nx) AS nx, any_value(ny) AS ny,
-         any_value(nz) AS nz, any_value(curvature) AS c
-  FROM features WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND isfinite(nx) AND isfinite(ny) AND isfinite(nz) AND isfinite(curvature)
-  GROUP BY point_id),
-near AS (
-  SELECT *, floor(x / 0.5) + dx AS kx, floor(y / 0.5) + dy AS ky
-  FROM pts, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)),
-links AS (
-  SELECT a.point_id AS u, b.point_id AS v
-  FROM pts a JOIN near b ON floor(a.x / 0.5) = b.kx AND floor(a.y / 0.5) = b.ky AND a.point_id <> b.point_id
-  WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.5
-    AND acos(greatest(-1, least(1, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) <= 0.52 AND abs(a.c - b.c) <= 0.02),
-reach(point_id, group_id) USING KEY (point_id) AS (
-  SELECT u, min(least(u, v)) FROM links GROUP BY u
-  UNION
-  SELECT l.v, min(r.group_id) FROM reach r JOIN links l ON l.u = r.point_id
-  JOIN recurring.reach o ON o.point_id = l.v WHERE r.group_id < o.group_id GROUP BY l.v)
-SELECT point_id, group_id FROM reach QUALIFY count(*) OVER (PARTITION BY group_id) >= 5
-""",
+    "p5_found": f"{_REACH} SELECT point_id, group_id FROM reach QUALIFY count(*) OVER (PARTITION BY group_id) >= 5",
+    "p5_clusters": f"""{_REACH},
+placed AS (SELECT point_id, {_CELL} FROM pts),
+named AS (SELECT point_id, min(point_id) OVER w AS cell, count(*) OVER w AS n FROM placed WINDOW w AS (PARTITION BY q0, q1, q2, q3, q4, q5, q6, q7)),
+grouped AS (SELECT r.group_id, cell, max(n) AS n, string_agg(point_id::VARCHAR, ',' ORDER BY point_id) FILTER (k <= 3) AS typical
+  FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY point_id) AS k FROM named) JOIN reach r USING (point_id) GROUP BY ALL)
+SELECT group_id, sum(n)::BIGINT AS size, count(*) AS cells, max(n) AS densest, arg_min(typical, {{'n': -n, 'cell': cell}}) AS typical FROM grouped GROUP BY group_id HAVING sum(n) >= 5""",
     "p3_curvature_percentiles": _SKETCH.format(keys="scene, day"),
     "p3_scene_percentiles": _SKETCH.format(keys="scene"),
 }
