@@ -257,9 +257,9 @@ def test_levels_equal_the_sequential_run(spark, kind):
     """One component, split over several tasks and levels, gives the same roots, attributes and counters."""
     rnd = random.Random(11)
     if kind == "lattice":  # equal weights everywhere
-        rows = [(i, 0.25 * (i % 12), 0.25 * (i // 12), 0.0) for i in range(144)]
+        rows = [(i, 0.25 * (i % 8), 0.25 * (i // 8), 0.0) for i in range(64)]
     else:
-        rows = [(i, rnd.uniform(0, 6), rnd.uniform(0, 2), rnd.gauss(0, 0.06)) for i in range(260)]
+        rows = [(i, rnd.uniform(0, 3.5), rnd.uniform(0, 1.5), rnd.gauss(0, 0.06)) for i in range(110)]
     cfg = SegmentationConfig(normal_radius=0.6, search_radius=0.45)
     if kind == "stop":
         cfg = replace(cfg, gates=False, curvature_weight=0.0, stop_weight=0.5)
@@ -268,7 +268,7 @@ def test_levels_equal_the_sequential_run(spark, kind):
     e = graph.build_edges(f, cfg.search_radius, cfg.angle_weight, cfg.curvature_weight)
     t = features.curvature_threshold(f, 95)
     one = merge.merge_components(spark, graph.vertices(f), e, t, cfg)
-    many = merge.merge_components(spark, graph.vertices(f), e, t, replace(cfg, max_component=190, bundle_edges=60, level_share=0.3))
+    many = merge.merge_components(spark, graph.vertices(f), e, t, replace(cfg, max_component=45, bundle_edges=60, level_share=0.4))
     assert merge.merge_metrics(one).first() == merge.merge_metrics(many).first()
     cols = ["point_id", "root", "size", "x", "y", "z", "nx", "ny", "nz"]
     assert sorted(one.select(*cols).collect()) == sorted(many.select(*cols).collect())
