@@ -485,19 +485,27 @@ def _row(kinds: str, csv: bool) -> str:
 
 
 _P2 = rf"""WITH b AS (
-  SELECT line_id, layout, rtrim(regexp_replace(trim(line, ' ' || chr(9)), '\r$', ''), ' ' || chr(9)) AS body
+  SELECT line_id, file_name, line_num, layout, rtrim(regexp_replace(trim(line, ' ' || chr(9)), '\r$', ''), ' ' || chr(9)) AS body
   FROM raw_lines WHERE line IS NOT NULL AND NOT starts_with(line, '#')),
 c AS (SELECT *, layout IN ('csv6', 'csv7') AS csv FROM b WHERE body <> ''),
-r AS (SELECT line_id, CASE
+r AS (SELECT *, CASE
   WHEN csv AND NOT regexp_full_match(body, '{_FIELD}(?:,{_FIELD})*') THEN 'quoting'
   WHEN csv AND length(regexp_replace(regexp_replace(body, '"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) + 1 <> CASE layout WHEN 'csv6' THEN 6 ELSE 7 END THEN 'columns'
   WHEN NOT csv AND (len(regexp_split_to_array(body, '[ \t]+')) < 3 OR (layout = 'scene7' AND len(regexp_split_to_array(body, '[ \t]+')) <> 7)) THEN 'columns'
   WHEN NOT CASE layout WHEN 'xyz' THEN {_row('ccc', False)} WHEN 'scene7' THEN {_row('cccwbbb', False)} WHEN 'csv6' THEN {_row('cccnnn', True)} ELSE {_row('cccnnns', True)} END THEN 'value'
-  END AS reason FROM c)
-SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
+  END AS reason FROM c)"""
+_P2_POINTS = ", ".join(
+    [f"TRY_CAST(f[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz", 1)]
+    + [f"CASE WHEN csv THEN TRY_CAST(f[{i}] AS DOUBLE) END AS {c}" for i, c in enumerate(("nx", "ny", "nz"), 4)]
+    + [f"CASE WHEN layout = 'scene7' THEN TRY_CAST(f[{i}] AS BIGINT) END AS {c}" for i, c in enumerate(("intensity", "r", "g", "b"), 4)]
+    + ["CASE WHEN layout = 'csv7' THEN TRY_CAST(f[7] AS BIGINT) END AS segment_id"]
+)
 
 ORACLE: dict[str, str] = {
-    "p2_found": _P2,
+    "p2_found": f"{_P2} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p2_points": rf"""{_P2},
+f AS (SELECT line_id, file_name, line_num, layout, csv, CASE WHEN csv THEN list_transform(string_split(replace(body, chr(34), ''), ','), lambda t: trim(t, ' ' || chr(9))) ELSE regexp_split_to_array(body, '[ \t]+') END AS f FROM r WHERE reason IS NULL)
+SELECT line_id, file_name, line_num, layout, {_P2_POINTS} FROM f""",
     "bounds_line": f"WITH {_LINE} {_bounds('line')}",
     "bounds_cloud": f"WITH {_CLOUD} {_bounds('cloud')}",
     "spacing_line": f"""WITH {_LINE}, s AS (SELECT count(*) AS n, max(x)-min(x) AS dx, max(y)-min(y) AS dy, max(z)-min(z) AS dz FROM line)
